@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from foliate.plans import classification  # noqa: F401
+from foliate.plans import classification, parsing  # noqa: F401
 from foliate.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
