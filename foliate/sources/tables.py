@@ -18,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer partitions than cores, as one small file has.
+
+    At scale a scan has far more partitions than cores and is left alone. Rows are placed by key, so
+    later per-document windows and joins find them in place.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def template_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One template version per document; its template is the document's source."""
     docs = table(spark, sf_dir, "documents").select(
@@ -32,7 +46,7 @@ def template_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document as paragraph blocks."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     lines = F.filter(F.split("text", "\n"), lambda line: ~is_blank(line))
     exploded = docs.select(
         F.col("doc_id").alias("template_version_id"),
@@ -72,7 +86,7 @@ def _entities(c: Column) -> Column:
 
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings, paragraphs and list items of every page, in order, as raw elements."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
     html = F.regexp_replace("html", _NOISE, "")
     html = F.regexp_replace(html, _OPEN, "\x01$1\x02")
     html = F.regexp_replace(html, _CLOSE, "\x01-\x02")
