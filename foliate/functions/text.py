@@ -46,9 +46,9 @@ def words(c: Column | str) -> Column:
     return find_all(F.lower(col(c)), f"[{K.WORD}]+")
 
 
-def word_tokens(c: Column | str) -> Column:
-    """Number of white-space separated tokens."""
-    return F.regexp_count(col(c), F.lit(f"[^{K.WS}]+"))
+def has_more_tokens(c: Column | str, n: int) -> Column:
+    """More than ``n`` white-space separated tokens; stops reading at token ``n`` + 1."""
+    return F.rlike(col(c), F.lit(rf"\A[{K.WS}]*+(?:[^{K.WS}]++[{K.WS}]++){{{n}}}[^{K.WS}]"))
 
 
 def top_multiplicity(items: Column) -> Column:

@@ -50,21 +50,26 @@ def preconditions(section_rows: DataFrame, outputs: DataFrame, *key: str) -> Dat
     return missing.unionByName(bad)
 
 
-def assemble(block_rows: DataFrame, section_rows: DataFrame, outputs: DataFrame, *key: str) -> DataFrame:
+def assemble(block_rows: DataFrame, section_rows: DataFrame | None, outputs: DataFrame, *key: str) -> DataFrame:
     """Every block once, with generated text injected into dynamic paragraphs and headings.
 
     Sections meet blocks by path ``body/block/<sequence>``, outputs meet sections by id; ``key``
-    names the document (or version) in all three. Layout, level and ids are kept; other block types
-    and sections without content keep their block.
+    names the document (or version) in all three. Blocks that carry their own ``section_id`` and
+    ``section_type`` need no section rows. Layout, level and ids are kept; other block types and
+    sections without content keep their block.
     """
     key = list(key) or [VERSION]
     contents = outputs.select(*key, "section_id", F.nullif("generated_content", F.lit("")).alias("_content"))
-    known = section_rows.select(
-        *key, "section_id", F.col("structural_path").alias("_path"), (F.col("section_type") == K.DYNAMIC).alias("_dynamic")
-    ).join(contents, [*key, "section_id"], "left")
-    rows = block_rows.withColumn("_path", F.concat(F.lit("body/block/"), F.col("sequence").cast("string"))).join(
-        known, [*key, "_path"], "left"
-    )
+    dynamic = (F.col("section_type") == K.DYNAMIC).alias("_dynamic")
+    if section_rows is None:
+        rows = block_rows.withColumn("_dynamic", dynamic).join(contents, [*key, "section_id"], "left")
+        block_rows = block_rows.drop("section_id", "section_type")
+    else:
+        known = section_rows.select(*key, "section_id", F.col("structural_path").alias("_path"), dynamic).join(
+            contents, [*key, "section_id"], "left"
+        )
+        path = F.concat(F.lit("body/block/"), F.col("sequence").cast("string"))
+        rows = block_rows.withColumn("_path", path).join(known, [*key, "_path"], "left")
     dynamic = F.coalesce("_dynamic", F.lit(False))
     textual = F.col("block_type").isin("paragraph", "heading")
     rows = rows.withColumns({

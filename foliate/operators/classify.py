@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
-from foliate.functions.text import confidence_level, find_all, first_of, matches, strip, word_tokens
+from foliate.functions.text import confidence_level, first_of, has_more_tokens, matches, strip
 
 MODEL_SCHEMA = "classification string, confidence string, reasoning string"
 
@@ -21,30 +21,32 @@ def rule_number(text: Column) -> Column:
     return first_of([(matches(text, pattern), F.lit(i)) for i, (_, _, _, pattern) in enumerate(K.RULES)])
 
 
+_INDICATORS = (K.HEADER_FOOTER_RULE, K.TOP_HEADING_RULE, K.SHORT_RULE, K.CAPS_RULE, K.NARRATIVE_RULE)
+
+
 def _indicator(block_type: Column, level: Column, text: Column, threshold: float) -> Column:
-    """Structural rule, else heuristic; each only at or above the threshold."""
-    structural = first_of([
-        (block_type.isin("header", "footer"), F.lit(len(K.RULES))),
-        ((block_type == "heading") & (level == 1), F.lit(len(K.RULES) + 1)),
-    ])
-    caps = (F.upper(text) == text) & (F.lower(text) != text) & (F.length(text) < K.CAPS_LENGTH)
-    narrative = (
-        (block_type == "paragraph")
-        & (F.length(text) > K.NARRATIVE_LENGTH)
-        & (word_tokens(text) > K.NARRATIVE_WORDS)
-    )
-    heuristic = first_of([
-        (F.length(strip(text)) < K.SHORT_LENGTH, F.lit(len(K.RULES) + 2)),
-        (caps, F.lit(len(K.RULES) + 3)),
-        (narrative, F.lit(len(K.RULES) + 4)),
-    ])
-    extra = (K.HEADER_FOOTER_RULE, K.TOP_HEADING_RULE, K.SHORT_RULE, K.CAPS_RULE, K.NARRATIVE_RULE)
-    keep = [len(K.RULES) + i for i, rule in enumerate(extra) if rule[1] >= threshold]
+    """Structural rule, else heuristic. The first that applies counts, if it reaches the threshold."""
 
-    def kept(rule: Column) -> Column:
-        return F.when(rule.isin(*keep), rule) if keep else F.lit(None).cast("int")
+    def number(i: int) -> Column:
+        return F.lit(len(K.RULES) + i if _INDICATORS[i][1] >= threshold else None).cast("int")
 
-    return F.coalesce(kept(structural), kept(heuristic))
+    structural = first_of([
+        (block_type.isin("header", "footer"), number(0)),
+        ((block_type == "heading") & (level == 1), number(1)),
+    ])
+    heuristics = [
+        (F.length(strip(text)) < K.SHORT_LENGTH, number(2)),
+        ((F.length(text) < K.CAPS_LENGTH) & (F.upper(text) == text) & (F.lower(text) != text), number(3)),
+        (
+            (block_type == "paragraph")
+            & (F.length(text) > K.NARRATIVE_LENGTH)
+            & has_more_tokens(text, K.NARRATIVE_WORDS),
+            number(4),
+        ),
+    ]
+    if all(rule[1] < threshold for rule in _INDICATORS[2:]):
+        return structural
+    return F.coalesce(structural, first_of(heuristics))
 
 
 def classify(
@@ -65,10 +67,9 @@ def classify(
     rows = rows.withColumn(
         "_rule", F.coalesce("_rule_hit", _indicator(F.col("block_type"), F.col("level"), text, threshold))
     )
-    extra = (K.HEADER_FOOTER_RULE, K.TOP_HEADING_RULE, K.SHORT_RULE, K.CAPS_RULE, K.NARRATIVE_RULE)
-    types = [r[0] for r in K.RULES] + [r[0] for r in extra]
-    confidences = [r[1] for r in K.RULES] + [r[1] for r in extra]
-    reasons = [f"Rule-based: {r[2]}" for r in K.RULES] + [r[2] for r in extra]
+    types = [r[0] for r in (*K.RULES, *_INDICATORS)]
+    confidences = [r[1] for r in (*K.RULES, *_INDICATORS)]
+    reasons = [f"Rule-based: {r[2]}" for r in K.RULES] + [r[2] for r in _INDICATORS]
     # A text rule below the service threshold does not stand; the cascade goes on.
     standing = [i for i, c in enumerate(confidences) if c >= threshold]
     rule = F.when(F.col("_rule").isin(*standing), F.col("_rule")) if standing else F.lit(None).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliate.operators import assemble as A
 from foliate.operators import attempts as R
+from foliate.operators import classify as C
 from foliate.operators import materialise as D
 from foliate.plans import ddl
 from foliate.plans.generation import sections
@@ -29,6 +30,17 @@ def section_outputs(spark, sf_dir):
 
 
 def assembled(spark, sf_dir):
+    """Classified blocks carry their section, so only the outputs are joined."""
+    rows = C.classify(T.text_blocks(spark, sf_dir), ddl.SECTION_THRESHOLD)
+    blocks = rows.select(
+        KEY, "block_id", "position", "sequence", "block_type", "level", "text", "total_blocks", "section_type",
+        (F.col("position") + 1).alias("section_id"),
+    )
+    return A.assemble(blocks, None, section_outputs(spark, sf_dir), KEY)
+
+
+def assembled_by_path(spark, sf_dir):
+    """The same from stored sections that know only the path of their block."""
     return A.assemble(T.text_blocks(spark, sf_dir), sections(spark, sf_dir), section_outputs(spark, sf_dir), KEY)
 
 
@@ -56,7 +68,7 @@ def assembly_preconditions(spark, sf_dir):
   left(sha256(new_text), 16) AS assembled_content_hash, new_text AS text FROM assembled""",
 )
 def assembly_blocks(spark, sf_dir):
-    return assembled(spark, sf_dir).select(
+    return assembled_by_path(spark, sf_dir).select(
         KEY, "block_id", "position", "is_dynamic", "was_modified", "original_content_hash", "assembled_content_hash", "text"
     )
 

@@ -46,13 +46,13 @@ def template_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document as paragraph blocks."""
-    docs = documents(spark, sf_dir)
     lines = F.filter(F.split("text", "\n"), lambda line: ~is_blank(line))
-    exploded = docs.select(
-        F.col("doc_id").alias("template_version_id"),
-        F.col("source").alias("template_id"),
-        F.size(lines).cast("bigint").alias("total_blocks"),
-        F.posexplode(lines).alias("position", "text"),
+    docs = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("template_version_id"), F.col("source").alias("template_id"), lines.alias("lines")
+    )
+    # Count before exploding: neither the text nor the array travels with every line.
+    exploded = docs.withColumn("total_blocks", F.size("lines").cast("bigint")).select(
+        "template_version_id", "template_id", "total_blocks", F.posexplode("lines").alias("position", "text")
     )
     sequence = (F.col("position") + 1).cast("bigint")
     return exploded.select(
