@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
@@ -51,15 +51,23 @@ def has_more_tokens(c: Column | str, n: int) -> Column:
     return F.rlike(col(c), F.lit(rf"\A[{K.WS}]*+(?:[^{K.WS}]++[{K.WS}]++){{{n}}}[^{K.WS}]"))
 
 
-def top_multiplicity(items: Column) -> Column:
-    """Largest number of equal elements of an array: sort, then one pass over the runs."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc: Column, item: Column) -> Column:
-        run = F.when(acc["last"].eqNullSafe(item), acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(item.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+def word_profile(c: Column | str) -> Column:
+    """``struct<total, unique, top>`` of the words: sort, then one pass over the runs of equal words."""
+    zero = {"run": 0, "top": 0, "unique": 0, "total": 0}
+    start = F.struct(F.lit(None).cast("string").alias("last"), *[F.lit(v).alias(k) for k, v in zero.items()])
+
+    def step(acc: Column, word: Column) -> Column:
+        same = acc["last"].eqNullSafe(word)
+        run = F.when(same, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(
+            word.alias("last"),
+            run.alias("run"),
+            F.greatest(acc["top"], run).alias("top"),
+            F.when(same, acc["unique"]).otherwise(acc["unique"] + 1).alias("unique"),
+            (acc["total"] + 1).alias("total"),
+        )
 
-    return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["best"])
+    return F.aggregate(F.sort_array(words(c)), start, step)
 
 
 def sha(c: Column | str) -> Column:
@@ -125,3 +133,14 @@ def first_of(pairs: Sequence[tuple[Column, Column | str]], otherwise: Column | N
 def present(pairs: Sequence[tuple[Column, str]]) -> Column:
     """Array of the values whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(condition, F.lit(value)) for condition, value in pairs]))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    A filter on a projected column is pushed below the projection by copying its expression, so a
+    chain of regular expressions would run again for the filter. Filters are not pushed through a
+    generator; one row of one struct costs next to nothing.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
-from foliate.functions.text import confidence_level, first_of, has_more_tokens, matches, strip
+from foliate.functions.text import confidence_level, first_of, has_more_tokens, matches, once, strip
 
 MODEL_SCHEMA = "classification string, confidence string, reasoning string"
 
@@ -16,12 +16,19 @@ def _choose(number: Column, values: list, kind: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), number).cast(kind)
 
 
-def rule_number(text: Column) -> Column:
-    """Number of the first text rule that hits, from 0; NULL when none does."""
-    return first_of([(matches(text, pattern), F.lit(i)) for i, (_, _, _, pattern) in enumerate(K.RULES)])
+def rule_number(text: Column, threshold: float = 0.0) -> Column:
+    """Number of the first text rule that hits, from 0; NULL when none does.
+
+    A rule below the threshold still ends the search, but does not stand: it counts as no rule.
+    """
+    return first_of([
+        (matches(text, pattern), F.lit(i if confidence >= threshold else _NO_RULE))
+        for i, (_, confidence, _, pattern) in enumerate(K.RULES)
+    ])
 
 
 _INDICATORS = (K.HEADER_FOOTER_RULE, K.TOP_HEADING_RULE, K.SHORT_RULE, K.CAPS_RULE, K.NARRATIVE_RULE)
+_NO_RULE = len(K.RULES) + len(_INDICATORS)
 
 
 def _indicator(block_type: Column, level: Column, text: Column, threshold: float) -> Column:
@@ -63,58 +70,43 @@ def classify(
     Blocks without text (tables, lists, breaks) are classified as empty text.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = blocks.withColumn("_rule_hit", rule_number(text))
-    rows = rows.withColumn(
-        "_rule", F.coalesce("_rule_hit", _indicator(F.col("block_type"), F.col("level"), text, threshold))
+    number = F.coalesce(
+        rule_number(text, threshold),
+        _indicator(F.col("block_type"), F.col("level"), text, threshold),
+        F.lit(_NO_RULE),
     )
-    types = [r[0] for r in (*K.RULES, *_INDICATORS)]
-    confidences = [r[1] for r in (*K.RULES, *_INDICATORS)]
-    reasons = [f"Rule-based: {r[2]}" for r in K.RULES] + [r[2] for r in _INDICATORS]
-    # A text rule below the service threshold does not stand; the cascade goes on.
-    standing = [i for i, c in enumerate(confidences) if c >= threshold]
-    rule = F.when(F.col("_rule").isin(*standing), F.col("_rule")) if standing else F.lit(None).cast("int")
-    by_rule = F.when(
-        rule.isNotNull(),
-        F.struct(
-            _choose(rule, types, "string").alias("section_type"),
-            _choose(rule, confidences, "double").alias("confidence"),
-            F.lit(K.RULE_BASED).alias("method"),
-            _choose(rule, reasons, "string").alias("justification"),
+    rows = once(blocks, {"_rule": number})
+    known = (*K.RULES, *_INDICATORS, (K.STATIC, K.FALLBACK_CONFIDENCE, K.FALLBACK_REASON))
+    rule = F.col("_rule")
+    verdict = {
+        "section_type": _choose(rule, [r[0] for r in known], "string"),
+        "confidence": _choose(rule, [r[1] for r in known], "double"),
+        "method": F.when(rule == _NO_RULE, K.FALLBACK).otherwise(K.RULE_BASED),
+        "justification": _choose(
+            rule, [f"Rule-based: {r[2]}" if i < len(K.RULES) else r[2] for i, r in enumerate(known)], "string"
         ),
-    )
-    fallback = F.struct(
-        F.lit(K.STATIC).alias("section_type"),
-        F.lit(K.FALLBACK_CONFIDENCE).alias("confidence"),
-        F.lit(K.FALLBACK).alias("method"),
-        F.lit(K.FALLBACK_REASON).alias("justification"),
-    )
-    choices = [by_rule, fallback]
+    }
     if replies is not None:
-        model = replies.select(*keys, F.col("reply").alias("_reply"))
-        rows = rows.join(model, list(keys), "left")
-        choices.insert(
-            1,
-            F.when(
-                F.col("_reply.confidence") >= threshold,
-                F.struct(
-                    F.col("_reply.classification").alias("section_type"),
-                    F.col("_reply.confidence").alias("confidence"),
-                    F.lit(K.LLM_ASSISTED).alias("method"),
-                    F.concat(F.lit("LLM-assisted: "), F.col("_reply.reasoning")).alias("justification"),
-                ),
-            ),
-        )
-    rows = rows.withColumn("_verdict", F.coalesce(*choices))
-    hit = F.when(F.col("_verdict.method") == K.RULE_BASED, F.col("_rule"))
+        rows = rows.join(replies.select(*keys, F.col("reply").alias("_reply")), list(keys), "left")
+        reply = F.col("_reply")
+        by_model = (rule == _NO_RULE) & F.coalesce(reply["confidence"] >= threshold, F.lit(False))
+        answers = {
+            "section_type": reply["classification"],
+            "confidence": reply["confidence"],
+            "method": F.lit(K.LLM_ASSISTED),
+            "justification": F.concat(F.lit("LLM-assisted: "), reply["reasoning"]),
+        }
+        verdict = {name: F.when(by_model, answers[name]).otherwise(value) for name, value in verdict.items()}
+    rows = rows.withColumns(verdict)
     return rows.select(
         *blocks.columns,
-        "_verdict.section_type",
-        "_verdict.confidence",
-        confidence_level(F.col("_verdict.confidence")).alias("confidence_level"),
-        "_verdict.method",
-        "_verdict.justification",
-        (hit + 1).alias("rule_number"),
-        F.when(hit < len(K.RULES), F.substring(text, 1, 100)).alias("text_sample"),
+        "section_type",
+        "confidence",
+        confidence_level(F.col("confidence")).alias("confidence_level"),
+        "method",
+        "justification",
+        F.when(rule != _NO_RULE, rule + 1).alias("rule_number"),
+        F.when(rule < len(K.RULES), F.substring(text, 1, 100)).alias("text_sample"),
     )
 
 

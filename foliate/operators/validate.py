@@ -14,12 +14,12 @@ from foliate.functions.text import (
     first_of,
     is_blank,
     matches,
+    once,
     present,
     quoted_list,
     sha,
     strip,
-    top_multiplicity,
-    words,
+    word_profile,
 )
 
 CHECKS = (
@@ -54,11 +54,19 @@ def structural(
     ``checks`` are the switches, ``custom`` further patterns (multiline, any case). Empty content is
     valid.
     """
+    return _structural(once(df, _markup(content, checks, custom)), content, custom, findings)
+
+
+def _markup(content: str, checks: Sequence[str], custom: Sequence[str]) -> dict[str, Column]:
+    c = F.coalesce(content, F.lit(""))
+    found = {f"_has_{name}": matches(c, _PATTERN[name]) if name in checks else F.lit(False) for name in CHECKS}
+    return {**found, **{f"_custom_{i}": F.rlike(c, F.lit(f"(?iumd){p}")) for i, p in enumerate(custom)}}
+
+
+def _structural(rows: DataFrame, content: str, custom: Sequence[str], findings: bool) -> DataFrame:
     c = F.coalesce(content, F.lit(""))
-    found = {name: matches(c, _PATTERN[name]) if name in checks else F.lit(False) for name in CHECKS}
-    rows = df.withColumns({f"_has_{name}": hit for name, hit in found.items()})
     has = {name: F.col(f"_has_{name}") for name in CHECKS}
-    custom_hits = [F.rlike(c, F.lit(f"(?iumd){p}")) for p in custom]
+    custom_hits = [F.col(f"_custom_{i}") for i in range(len(custom))]
     any_custom = F.lit(False)
     for hit in custom_hits:
         any_custom = any_custom | hit
@@ -102,7 +110,7 @@ def structural(
             F.when(F.size(name) > 0, F.concat(F.lit(label), quoted_list(F.slice(name, 1, 3)))) for name, label in labels
         ]
         rows = rows.withColumn("structural_message", F.when(~F.col("structural_valid"), F.concat_ws("; ", *parts)))
-    return rows.drop(*[f"_has_{name}" for name in CHECKS])
+    return rows.drop(*[f"_has_{name}" for name in CHECKS], *[f"_custom_{i}" for i in range(len(custom))])
 
 
 def bounds(
@@ -140,14 +148,16 @@ def word_statistics(df: DataFrame, content: str = "content") -> DataFrame:
 
     Counting is done inside the row (sort, one pass); exploding the words would shuffle all text.
     """
-    rows = df.withColumn("_words", words(F.coalesce(content, F.lit(""))))
-    total = F.size("_words")
-    top = F.when(total > 0, top_multiplicity(F.col("_words"))).otherwise(0)
+    return _word_columns(once(df, {"_words": word_profile(F.coalesce(content, F.lit("")))}))
+
+
+def _word_columns(rows: DataFrame) -> DataFrame:
+    w = F.col("_words")
     return rows.withColumns({
-        "total_words": total,
-        "unique_words": F.size(F.array_distinct("_words")),
-        "top_count": top,
-        "repetition_ratio": F.when(total > 0, top / total).otherwise(F.lit(0.0)),
+        "total_words": w["total"],
+        "unique_words": w["unique"],
+        "top_count": w["top"],
+        "repetition_ratio": F.when(w["total"] > 0, w["top"] / w["total"]).otherwise(F.lit(0.0)),
     }).drop("_words")
 
 
@@ -166,7 +176,18 @@ def quality(
     max_repetition: float = K.MAX_REPETITION,
 ) -> DataFrame:
     """Repetition, boilerplate and vocabulary of the content; empty content is not valid."""
-    rows = word_statistics(df, content).withColumn("boilerplate_rules", boilerplate_hits(F.coalesce(content, F.lit(""))))
+    return _quality(once(df, _language(content)), content, min_unique_words, max_repetition)
+
+
+def _language(content: str) -> dict[str, Column]:
+    c = F.coalesce(content, F.lit(""))
+    return {"_words": word_profile(c), "boilerplate_rules": boilerplate_hits(c)}
+
+
+def _quality(
+    measured: DataFrame, content: str, min_unique_words: int = K.MIN_UNIQUE_WORDS, max_repetition: float = K.MAX_REPETITION
+) -> DataFrame:
+    rows = _word_columns(measured)
     repetitive = (F.col("total_words") >= 10) & (F.col("repetition_ratio") > max_repetition)
     poor = (F.col("unique_words") < min_unique_words) & (F.col("total_words") >= 5)
     boilerplate = F.size("boilerplate_rules") > 0
@@ -214,7 +235,9 @@ def verdict(
     and, with ``messages``, ``rejection_reason``. Empty content is judged on bounds alone.
     """
     before = df.columns
-    rows = quality(bounds(structural(df, content, checks, custom, findings=messages), content, min_length, max_length), content)
+    measured = once(df, {**_markup(content, checks, custom), **_language(content)})
+    rows = bounds(_structural(measured, content, custom, messages), content, min_length, max_length)
+    rows = _quality(rows, content)
     empty = F.col("content_length") == 0
     rows = rows.withColumns({
         "structural_valid": empty | F.col("structural_valid"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
 from foliate.functions.ordered import id_bucket, ranked
-from foliate.functions.text import block_id, is_blank, run_of, sha, strip
+from foliate.functions.text import block_id, is_blank, once, run_of, sha, strip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,11 @@ def template_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document as paragraph blocks."""
     lines = F.filter(F.split("text", "\n"), lambda line: ~is_blank(line))
-    docs = documents(spark, sf_dir).select(
-        F.col("doc_id").alias("template_version_id"), F.col("source").alias("template_id"), lines.alias("lines")
+    docs = once(
+        documents(spark, sf_dir).select(
+            F.col("doc_id").alias("template_version_id"), F.col("source").alias("template_id"), "text"
+        ),
+        {"lines": lines},
     )
     # Count before exploding: neither the text nor the array travels with every line.
     exploded = docs.withColumn("total_blocks", F.size("lines").cast("bigint")).select(
@@ -91,7 +94,8 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.regexp_replace(html, _OPEN, "\x01$1\x02")
     html = F.regexp_replace(html, _CLOSE, "\x01-\x02")
     html = F.regexp_replace(html, _TAG, "")
-    pieces = pages.select(F.col("page_id").alias("template_version_id"), F.posexplode(F.split(html, "\x01")).alias("ord", "piece"))
+    cut = once(pages.select(F.col("page_id").alias("template_version_id"), "html"), {"pieces": F.split(html, "\x01")})
+    pieces = cut.select("template_version_id", F.posexplode("pieces").alias("ord", "piece"))
     tag = F.lower(F.substring_index("piece", "\x02", 1))
     pieces = pieces.withColumns(
         {"tag": tag, "text": strip(_entities(F.substring_index("piece", "\x02", -1)))}
