@@ -125,16 +125,17 @@ def join_copies(
     ``groups`` is unique on ``keys`` and ``weight`` counts its rows. Groups above ``heavy`` rows
     number at most (all rows / ``heavy``), so that list is broadcast by its proven size; the rows it
     serves take part in the second join under a spread key that matches nothing. ``row_id`` spreads
-    them. Key columns must be strings. The result has no ``weight`` column.
+    them. The result has no ``weight`` column.
     """
     keys = list(keys)
     values = [c for c in groups.columns if c not in keys and c != weight]
     hot = groups.filter(F.col(weight) > heavy).select(*keys, F.struct(*values).alias("_hot"))
     cold = groups.filter(F.col(weight) <= heavy).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_cold")
+        *[F.col(k).cast("string").alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_cold")
     )
     step = rows.join(F.broadcast(hot), keys, "left")
-    spread = {f"_k_{k}": F.when(F.col("_hot").isNull(), F.col(k)).otherwise(F.concat(F.lit("\0"), row_id.cast("string"))) for k in keys}
+    away = F.concat(F.lit("\0"), row_id.cast("string"))
+    spread = {f"_k_{k}": F.when(F.col("_hot").isNull(), F.col(k).cast("string")).otherwise(away) for k in keys}
     out = step.withColumns(spread).join(cold, list(spread), "left")
     hit = F.coalesce("_hot", "_cold")
     return out.withColumns({v: hit[v] for v in values}).drop("_hot", "_cold", *spread)
