@@ -46,15 +46,18 @@ def template_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of every document as paragraph blocks."""
+    return text_blocks_of(documents(spark, sf_dir))
+
+
+def text_blocks_of(docs: DataFrame) -> DataFrame:
+    """Paragraph blocks of rows ``(doc_id, source, text)``, batch or stream."""
     lines = F.filter(F.split("text", "\n"), lambda line: ~is_blank(line))
-    docs = once(
-        documents(spark, sf_dir).select(
-            F.col("doc_id").alias("template_version_id"), F.col("source").alias("template_id"), "text"
-        ),
+    rows = once(
+        docs.select(F.col("doc_id").alias("template_version_id"), F.col("source").alias("template_id"), "text"),
         {"lines": lines},
     )
     # Count before exploding: neither the text nor the array travels with every line.
-    exploded = docs.withColumn("total_blocks", F.size("lines").cast("bigint")).select(
+    exploded = rows.withColumn("total_blocks", F.size("lines").cast("bigint")).select(
         "template_version_id", "template_id", "total_blocks", F.posexplode("lines").alias("position", "text")
     )
     sequence = (F.col("position") + 1).cast("bigint")
@@ -187,13 +190,18 @@ def _status() -> Column:
     return out
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumns(
+def events_of(raw: DataFrame) -> DataFrame:
+    """Events with key ``k`` of their properties and the job status they stand for."""
+    return raw.withColumns(
         {"k": F.get_json_object("props", "$.k").cast("bigint"), "status": _status()}
     )
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs_of(events_of(table(spark, sf_dir, "events")))
+
+
+def jobs_of(events: DataFrame) -> DataFrame:
     """One job per event; type, times and payload derive from its key, time and value."""
     types = F.array(*[F.lit(t) for t in K.JOB_TYPES])
     started = F.when(F.col("status") != "PENDING", F.col("ts") + F.make_dt_interval(secs=F.col("k").cast("decimal(18,6)")))
@@ -207,7 +215,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("user_id").cast("string").alias("template_version_id"),
         )
     )
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.col("event_id").alias("job_id"),
         F.get(types, (F.col("k") % 5).cast("int")).alias("job_type"),
         "status",
@@ -221,8 +229,12 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_events_of(events_of(table(spark, sf_dir, "events")))
+
+
+def job_events_of(events: DataFrame) -> DataFrame:
     """Status changes of one job per user, in time order."""
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.col("user_id").alias("job_id"), "event_id", "status", "ts", F.lit(None).cast("string").alias("reason")
     )
 
@@ -244,7 +256,7 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SECTION_GENERATION_"),
         F.when(F.col("status") == "PENDING", "INITIATED").when(F.col("status") == "RUNNING", "STARTED").otherwise(F.col("status")),
     )
-    return _events(spark, sf_dir).select(
+    return events_of(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("id"),
         F.get(kinds, (F.col("k") % 4).cast("int")).alias("entity_type"),
         F.col("user_id").alias("entity_id"),
