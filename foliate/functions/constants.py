@@ -32,35 +32,41 @@ FALLBACK_CONFIDENCE = 0.5
 FALLBACK_REASON = "Conservative fallback: defaulting to STATIC when classification inconclusive"
 
 
-def _word(alternatives: str) -> str:
-    return rf"(?i)(?:\A|[^{WORD}])(?:{alternatives})(?:\z|[^{WORD}])"
+def _word(*words: str) -> str:
+    """Any of the words or phrases, whole, in any case."""
+    return rf"(?i)(?:\A|[^{WORD}])(?:{'|'.join(words)})(?:\z|[^{WORD}])"
 
 
-# (section type, confidence, reason, pattern), first match wins.
+_LEGAL = ("disclaimer", "confidential", "privileged", "copyright", "all rights reserved")
+_BOILERPLATE = ("this document", "prepared by", "professional advice", "should not be construed")
+_CONTACT = ("tel:", "email:", "address:", "phone:", "fax:")
+_MARKER = ("to be completed", "insert", "customize", "client-specific", "personalized")
+_VARIABLE = ("client name", "company name", "project name", "date", "amount", "percentage")
+_NARRATIVE = ("our analysis", "we recommend", "specific to", "tailored", "customized approach")
+
+# (section type, confidence, reason, pattern, literals), first match wins. A text that holds none of
+# the literals in lower case cannot match the pattern; without literals the pattern itself decides.
 RULES = (
-    (STATIC, 0.95, "Legal disclaimer or confidentiality notice",
-     _word("disclaimer|confidential|privileged|copyright|all rights reserved")),
-    (STATIC, 0.92, "Standard boilerplate text",
-     _word("this document|prepared by|professional advice|should not be construed")),
+    (STATIC, 0.95, "Legal disclaimer or confidentiality notice", _word(*_LEGAL), _LEGAL),
+    (STATIC, 0.92, "Standard boilerplate text", _word(*_BOILERPLATE), _BOILERPLATE),
     (STATIC, 0.95, "Fixed header or footer content",
-     r"(?i)\A(?:page \p{Nd}+|proprietary|internal use only)"),
+     r"(?i)\A(?:page \p{Nd}+|proprietary|internal use only)", ()),
     (STATIC, 0.90, "Fixed contact information",
-     rf"(?i)(?:\A|[^{WORD}])(?:tel:|email:|address:|phone:|fax:)"),
+     rf"(?i)(?:\A|[^{WORD}])(?:{'|'.join(_CONTACT)})", _CONTACT),
     (STATIC, 0.92, "Section heading or label (static structure)",
      r"(?i)\A(?:meeting notes?|action items?|agenda|attendees?|date|time|location|subject"
-     rf"|discussion|notes?):?[{WS}]*\z"),
+     rf"|discussion|notes?):?[{WS}]*\z", ()),
     (STATIC, 0.90, "Document section heading (static structure)",
      r"(?i)\A(?:executive summary|introduction|background|overview|conclusion|recommendations?"
-     rf"|next steps):?[{WS}]*\z"),
+     rf"|next steps):?[{WS}]*\z", ()),
     (DYNAMIC, 0.95, "Contains placeholder syntax",
-     r"\{[^}]+\}|\[[^\]]+\]|<[^>]+>|\$\{[^}]+\}"),
-    (DYNAMIC, 0.92, "Explicit customization marker",
-     _word("to be completed|insert|customize|client-specific|personalized")),
-    (DYNAMIC, 0.88, "Contains variable references",
-     _word("client name|company name|project name|date|amount|percentage")),
-    (DYNAMIC, 0.85, "Client-specific narrative content",
-     _word("our analysis|we recommend|specific to|tailored|customized approach")),
+     r"\{[^}]+\}|\[[^\]]+\]|<[^>]+>|\$\{[^}]+\}", ("{", "[", "<")),
+    (DYNAMIC, 0.92, "Explicit customization marker", _word(*_MARKER), _MARKER),
+    (DYNAMIC, 0.88, "Contains variable references", _word(*_VARIABLE), _VARIABLE),
+    (DYNAMIC, 0.85, "Client-specific narrative content", _word(*_NARRATIVE), _NARRATIVE),
 )
+# Characters that fold to ASCII letters without being lower-cased to them.
+ODD_LETTERS = ("\u017f", "\u0131", "\u0130", "\u212a")
 
 # (section type, confidence, justification) of the structural and heuristic rules.
 HEADER_FOOTER_RULE = (STATIC, 0.95, "Header or footer block type")

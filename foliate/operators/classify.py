@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
-from foliate.functions.text import confidence_level, first_of, has_more_tokens, matches, once, strip
+from foliate.functions.text import confidence_level, first_of, has_more_tokens, holds_any, matches, once, strip
 
 MODEL_SCHEMA = "classification string, confidence string, reasoning string"
 
@@ -16,15 +16,20 @@ def _choose(number: Column, values: list, kind: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), number).cast(kind)
 
 
-def rule_number(text: Column, threshold: float = 0.0) -> Column:
+def rule_number(text: Column, lower: Column, threshold: float = 0.0) -> Column:
     """Number of the first text rule that hits, from 0; NULL when none does.
 
-    A rule below the threshold still ends the search, but does not stand: it counts as no rule.
+    The literals of a rule are searched first, in the lower-cased text; few texts get as far as its
+    pattern. A rule below the threshold still ends the search, but does not stand: it counts as no
+    rule.
     """
-    return first_of([
-        (matches(text, pattern), F.lit(i if confidence >= threshold else _NO_RULE))
-        for i, (_, confidence, _, pattern) in enumerate(K.RULES)
-    ])
+    tests = []
+    for i, (_, confidence, _, pattern, literals) in enumerate(K.RULES):
+        hit = matches(text, pattern)
+        if literals:
+            hit = (holds_any(lower, literals) | F.col("_odd")) & hit
+        tests.append((hit, F.lit(i if confidence >= threshold else _NO_RULE)))
+    return first_of(tests)
 
 
 _INDICATORS = (K.HEADER_FOOTER_RULE, K.TOP_HEADING_RULE, K.SHORT_RULE, K.CAPS_RULE, K.NARRATIVE_RULE)
@@ -70,12 +75,13 @@ def classify(
     Blocks without text (tables, lists, breaks) are classified as empty text.
     """
     text = F.coalesce("text", F.lit(""))
+    prepared = once(blocks, {"_lower": F.lower(text), "_odd": holds_any(text, K.ODD_LETTERS)})
     number = F.coalesce(
-        rule_number(text, threshold),
+        rule_number(text, F.col("_lower"), threshold),
         _indicator(F.col("block_type"), F.col("level"), text, threshold),
         F.lit(_NO_RULE),
     )
-    rows = once(blocks, {"_rule": number})
+    rows = once(prepared, {"_rule": number}).drop("_lower", "_odd")
     known = (*K.RULES, *_INDICATORS, (K.STATIC, K.FALLBACK_CONFIDENCE, K.FALLBACK_REASON))
     rule = F.col("_rule")
     verdict = {

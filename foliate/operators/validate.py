@@ -12,6 +12,7 @@ from foliate.functions.text import (
     at_line,
     find_all,
     first_of,
+    holds_any,
     is_blank,
     matches,
     once,
@@ -38,6 +39,19 @@ _PATTERN = {
 }
 
 
+# Characters without which a pattern cannot match.
+_NEEDS = {
+    "html_tags": ("<",),
+    "markdown_headers": ("#",),
+    "markdown_formatting": ("*", "_"),
+    "markdown_links": ("](",),
+    "code_blocks": ("`",),
+    "horizontal_rules": ("--", "**", "__", "-*", "*-", "_-", "-_", "_*", "*_"),
+    "tables": ("|",),
+    "section_numbering": (".", ")"),
+}
+
+
 def _first(c: Column, pattern: str, n: int) -> Column:
     return F.slice(find_all(c, pattern), 1, n)
 
@@ -59,7 +73,10 @@ def structural(
 
 def _markup(content: str, checks: Sequence[str], custom: Sequence[str]) -> dict[str, Column]:
     c = F.coalesce(content, F.lit(""))
-    found = {f"_has_{name}": matches(c, _PATTERN[name]) if name in checks else F.lit(False) for name in CHECKS}
+    found = {
+        f"_has_{name}": holds_any(c, _NEEDS[name]) & matches(c, _PATTERN[name]) if name in checks else F.lit(False)
+        for name in CHECKS
+    }
     return {**found, **{f"_custom_{i}": F.rlike(c, F.lit(f"(?iumd){p}")) for i, p in enumerate(custom)}}
 
 

@@ -56,7 +56,7 @@ blocks AS (
 def classified(threshold: float, source: str = "blocks", name: str = "classified") -> str:
     """Classification of paragraph blocks at a threshold."""
     rules = "\n".join(
-        f"      WHEN {hit('text', pattern)} THEN {i}" for i, (_, _, _, pattern) in enumerate(K.RULES)
+        f"      WHEN {hit('text', pattern)} THEN {i}" for i, (_, _, _, pattern, _) in enumerate(K.RULES)
     )
     n = len(K.RULES)
     soft = [
