@@ -16,7 +16,7 @@ def _choose(number: Column, values: list, kind: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), number).cast(kind)
 
 
-def rule_number(text: Column, lower: Column, threshold: float = 0.0) -> Column:
+def rule_number(text: Column, lower: str, threshold: float = 0.0) -> Column:
     """Number of the first text rule that hits, from 0; NULL when none does.
 
     The literals of a rule are searched first, in the lower-cased text; few texts get as far as its
@@ -75,9 +75,9 @@ def classify(
     Blocks without text (tables, lists, breaks) are classified as empty text.
     """
     text = F.coalesce("text", F.lit(""))
-    prepared = once(blocks, {"_lower": F.lower(text), "_odd": holds_any(text, K.ODD_LETTERS)})
+    prepared = once(blocks, {"_lower": F.lower(text), "_odd": F.coalesce(holds_any("text", K.ODD_LETTERS), F.lit(False))})
     number = F.coalesce(
-        rule_number(text, F.col("_lower"), threshold),
+        rule_number(text, "_lower", threshold),
         _indicator(F.col("block_type"), F.col("level"), text, threshold),
         F.lit(_NO_RULE),
     )

@@ -74,7 +74,7 @@ def structural(
 def _markup(content: str, checks: Sequence[str], custom: Sequence[str]) -> dict[str, Column]:
     c = F.coalesce(content, F.lit(""))
     found = {
-        f"_has_{name}": holds_any(c, _NEEDS[name]) & matches(c, _PATTERN[name]) if name in checks else F.lit(False)
+        f"_has_{name}": F.coalesce(holds_any(content, _NEEDS[name]) & matches(c, _PATTERN[name]), F.lit(False)) if name in checks else F.lit(False)
         for name in CHECKS
     }
     return {**found, **{f"_custom_{i}": F.rlike(c, F.lit(f"(?iumd){p}")) for i, p in enumerate(custom)}}

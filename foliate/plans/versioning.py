@@ -10,6 +10,7 @@ from foliate.operators import versions as N
 from foliate.plans import ddl
 from foliate.plans.generation import sections
 from foliate.plans.registry import query
+from foliate.session import stored
 from foliate.sources import tables as T
 
 # --- versions ---------------------------------------------------------------------------------
@@ -156,7 +157,8 @@ DOC = "document_id"
 
 def _request(spark, sf_dir):
     """Sections, targets, previous outputs and client data of every document, derived from its id."""
-    s = sections(spark, sf_dir).withColumn(DOC, F.col("template_version_id"))
+    rows = sections(spark, sf_dir).select(F.col("template_version_id").alias(DOC), "section_id", "section_type")
+    s = stored(rows, "sections")
     dynamic = s.filter(F.col("section_type") == "DYNAMIC").select(DOC, "section_id")
     docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias(DOC))
 
