@@ -158,7 +158,7 @@ def stream_states(spark, sf_dir):
 
 _SESSIONS = _EVENTS + """,
 beats AS (SELECT 'w' || user_id % 10 AS worker_id, ts FROM ev),
-marked AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY worker_id ORDER BY ts) + INTERVAL 1 HOUR, true) AS starts FROM beats),
+marked AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY worker_id ORDER BY ts) + INTERVAL 1 HOUR, true) AS starts FROM beats),
 islands AS (SELECT *, sum(starts::INT) OVER (PARTITION BY worker_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked),
 sessions AS (SELECT worker_id, min(ts) AS alive_from, max(ts) + INTERVAL 1 HOUR AS dead_at, count(*) AS beats FROM islands GROUP BY worker_id, session)"""
 

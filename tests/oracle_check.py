@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL: ``python bench/check.py [name …]``, SF_DIR optional."""
+"""Compare registered queries with their SQL: ``python -m tests.oracle_check [name …]``, SF_DIR optional."""
 
 from __future__ import annotations
 
