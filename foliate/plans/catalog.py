@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from foliate.plans import assembly, classification, generation, ingest, operations, parsing, validation, versioning  # noqa: F401
+from foliate.plans import assembly, classification, generation, ingest, lifecycle, operations, parsing, validation, versioning  # noqa: F401
 from foliate.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
