@@ -51,6 +51,12 @@ def by_key(logs: DataFrame, name: str, value, skip: int = 0, limit: int | None =
     return _page(logs.filter(meta(name) == str(value)), skip, limit)
 
 
+def by_keys(logs: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Rows that name any key of a table: the set form of ``by_key``."""
+    ids = wanted.select(F.col(name).cast("string").alias(name)).distinct()
+    return logs.withColumn(name, meta(name)).join(ids, name, "left_semi")
+
+
 def has_version(number: Column | int) -> Column:
     """The version stands under one of three keys."""
     hit = F.lit(False)

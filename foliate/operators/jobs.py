@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
@@ -30,6 +31,13 @@ def by_entity(jobs: DataFrame, entity_type: str, entity_id) -> DataFrame:
     return jobs.filter(payload(f"{entity_type}_id") == str(entity_id)).orderBy(F.col("created_at").desc(), F.col("job_id").desc())
 
 
+def by_entities(jobs: DataFrame, entity_type: str, wanted: DataFrame) -> DataFrame:
+    """Jobs about any entity of a table ``(<entity_type>_id)``: the set form of ``by_entity``."""
+    key = f"{entity_type}_id"
+    ids = wanted.select(F.col(key).cast("string").alias(key)).distinct()
+    return jobs.withColumn(key, payload(key)).join(ids, key, "left_semi")
+
+
 def status_counts(jobs: DataFrame, *by: str) -> DataFrame:
     """One zero-filled column per status."""
     return jobs.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in K.JOB_STATUSES])
@@ -257,3 +265,26 @@ def run_outcomes(stages: DataFrame, run: str = "run_id") -> DataFrame:
         F.col("_failure.error").alias("error"),
         *[F.when(stop > i + 1, F.col(s.lower())).alias(f"{s.lower()}_id") for i, s in enumerate(K.RUN_STAGES)],
     )
+
+
+def life_spans(beats: DataFrame, ttl_seconds: int = K.HEARTBEAT_TTL_SECONDS) -> DataFrame:
+    """Life spans of workers from a log of beats ``(worker_id, ts)``: dead ``ttl_seconds`` after the last.
+
+    Beats are first merged per worker and hour; only those pieces (at most 3600 / ttl + 1 per hour, however
+    many beats) are merged per worker.
+    """
+    ttl = F.make_dt_interval(secs=F.lit(ttl_seconds).cast("decimal(18,6)"))
+
+    def pieces(rows: DataFrame, keys: list[str], start: str, last: str) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy(start)
+        opens = F.coalesce(F.col(start) > F.lag(last).over(w) + ttl, F.lit(True)).cast("int")
+        numbered = rows.withColumn("_opens", opens)
+        return numbered.withColumn("_piece", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    hourly = beats.select("worker_id", "ts").withColumn("_hour", hour_bucket("ts"))
+    local = pieces(hourly, ["worker_id", "_hour"], "ts", "ts").groupBy("worker_id", "_hour", "_piece").agg(
+        F.min("ts").alias("alive_from"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("_beats")
+    ).drop("_piece", "_hour")
+    return pieces(local, ["worker_id"], "alive_from", "_last").groupBy("worker_id", "_piece").agg(
+        F.min("alive_from").alias("alive_from"), (F.max("_last") + ttl).alias("dead_at"), F.sum("_beats").alias("beats")
+    ).drop("_piece")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from foliate.operators import blocks as B
+from foliate.operators import jobs as J
 from foliate.plans import ddl
 from foliate.plans.operations import _EVENTS, _JOBS
 from foliate.plans.registry import query
@@ -169,7 +170,7 @@ def _beats(rows):
 
 @query("heartbeat_sessions", ddl.with_(_SESSIONS) + "SELECT * FROM sessions")
 def heartbeat_sessions(spark, sf_dir):
-    return S.heartbeat_sessions(_beats(T.table(spark, sf_dir, "events")), 3600)
+    return J.life_spans(_beats(T.table(spark, sf_dir, "events")), 3600)
 
 
 @query(

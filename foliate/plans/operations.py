@@ -53,6 +53,16 @@ def jobs_by_entity(spark, sf_dir):
     return J.by_entity(T.jobs(spark, sf_dir), "template_version", 7).select("job_id", "job_type", "status")
 
 
+@query(
+    "jobs_by_entities",
+    ddl.with_(_JOBS) + "SELECT job_id, document_id, status FROM jobs WHERE document_id IN (SELECT doc_id::VARCHAR FROM labels)",
+)
+def jobs_by_entities(spark, sf_dir):
+    """Jobs about labelled documents."""
+    wanted = T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
+    return J.by_entities(T.jobs(spark, sf_dir), "document", wanted).select("job_id", "document_id", "status")
+
+
 @query(
     "job_counts",
     ddl.with_(_JOBS) + "SELECT job_type, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in K.JOB_STATUSES) + " FROM jobs GROUP BY job_type",
@@ -308,6 +318,16 @@ def audit_by_job(spark, sf_dir):
     return U.by_key(T.audit_logs(spark, sf_dir), "job_id", 3, limit=None).select("id", "entity_type", "action")
 
 
+@query(
+    "audit_by_keys",
+    ddl.with_(_LOGS) + "SELECT id, k::VARCHAR AS document_id, action FROM logs WHERE k IN (SELECT doc_id FROM labels)",
+)
+def audit_by_keys(spark, sf_dir):
+    """Audit rows of labelled documents."""
+    wanted = T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
+    return U.by_keys(T.audit_logs(spark, sf_dir), "document_id", wanted).select("id", "document_id", "action")
+
+
 @query("audit_by_version", ddl.with_(_LOGS) + "SELECT id, entity_type, action FROM logs WHERE k = 42 AND version = 2")
 def audit_by_version(spark, sf_dir):
     return U.by_version(T.audit_logs(spark, sf_dir), 42, 2, limit=None).select("id", "entity_type", "action")

@@ -23,9 +23,11 @@ placed AS (
 
 
 def _arrivals(spark, sf_dir):
-    return T.documents(spark, sf_dir).select(
+    """Hashed once and stored: placing versions reads its arrivals several times, the texts are read here only."""
+    rows = T.documents(spark, sf_dir).select(
         F.col("source").alias("document_id"), F.col("doc_id").alias("arrival"), sha("text").alias("content_hash")
     )
+    return stored(rows, "arrivals")
 
 
 def versions(spark, sf_dir):
@@ -58,9 +60,10 @@ FROM hashed h JOIN numbered n USING (document_id, content_hash)""",
 )
 def version_append(spark, sf_dir):
     """The same arrivals again, onto a store that holds a part of the versions."""
-    stored = N.place_arrivals(_arrivals(spark, sf_dir)).filter(~F.col("is_duplicate") & (F.col("arrival") % 3 == 0))
-    stored = stored.select("document_id", "content_hash", "version_number")
-    return N.place_arrivals(_arrivals(spark, sf_dir), stored).select("document_id", "arrival", "version_number", "is_duplicate")
+    arrivals = _arrivals(spark, sf_dir)
+    before = N.place_arrivals(arrivals).filter(~F.col("is_duplicate") & (F.col("arrival") % 3 == 0))
+    before = before.select("document_id", "content_hash", "version_number")
+    return N.place_arrivals(arrivals, before).select("document_id", "arrival", "version_number", "is_duplicate")
 
 
 @query(
@@ -68,7 +71,8 @@ def version_append(spark, sf_dir):
     ddl.with_(_PLACED) + "SELECT document_id, max(version_number) + 1 AS next_version FROM placed GROUP BY document_id",
 )
 def next_version(spark, sf_dir):
-    return N.next_numbers(versions(spark, sf_dir), _arrivals(spark, sf_dir))
+    docs = T.table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"))
+    return N.next_numbers(versions(spark, sf_dir), docs)
 
 
 @query(

@@ -17,11 +17,15 @@ from foliate.session import scratch_dir
 CHANGES = "job_id bigint, ts timestamp, previous_status string, status string, verdict string"
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as a stream, with the schema of what is there now."""
+def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """Parquet files of a folder as a stream, with the schema of what is there now.
+
+    ``files_per_batch`` bounds a micro-batch, and with it the rows of one key that are folded at a time.
+    """
     folder = folder.rstrip("/")
     schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    options = {"pathGlobFilter": pattern, "maxFilesPerTrigger": files_per_batch}
+    return spark.readStream.schema(schema).options(**options).parquet(folder)
 
 
 def notifications(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from foliate.operators import classify as C
+from foliate.operators import jobs as J
 from foliate.streaming import events as S
 
 EVENT = "job_id bigint, event_id bigint, ts timestamp_ntz, status string, reason string"
@@ -80,3 +81,16 @@ def test_heartbeats(spark):
     df = spark.createDataFrame(rows, "worker_id string, s int").withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s)"))
     got = S.heartbeat_sessions(df).orderBy("alive_from").collect()
     assert [r["beats"] for r in got] == [3, 1, 1]
+
+
+def test_life_spans_equal_session_windows(spark):
+    import random
+
+    rng, t, rows = random.Random(3), 0, []
+    for _ in range(400):
+        t += rng.choice([1, 20, 59, 60, 61, 500, 4000])
+        rows.append((rng.choice(["hot", "hot", "w1", "w2"]), t))
+    df = spark.createDataFrame(rows, "worker_id string, s int").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:59:00' + make_dt_interval(0, 0, 0, s)"))
+    a, b = J.life_spans(df), S.heartbeat_sessions(df)
+    assert a.count() > 20
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
