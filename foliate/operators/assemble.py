@@ -222,6 +222,29 @@ def status_flags(stored: DataFrame, structure: str = "assembled_structure") -> D
     })
 
 
+def find(
+    stored: DataFrame,
+    document_id=None,
+    version: int | None = None,
+    batch=None,
+    content_hash: str | None = None,
+    status: str | None = None,
+    validated: bool = False,
+    version_column: str = "version_intent",
+    hash_column: str = "assembly_hash",
+) -> DataFrame:
+    """Stored assemblies or renditions that meet all given conditions, newest version first."""
+    conditions = {
+        "document_id": document_id, version_column: version, "batch_key": batch, hash_column: content_hash, "status": status,
+    }
+    for name, value in conditions.items():
+        if value is not None:
+            stored = stored.filter(F.col(name) == value)
+    if validated:
+        stored = renderable(stored)
+    return stored.orderBy(F.col(version_column).desc())
+
+
 def renderable(stored: DataFrame) -> DataFrame:
     return stored.filter((F.col("status") == "VALIDATED") & F.col("is_immutable"))
 

@@ -77,31 +77,9 @@ def promote(logs: DataFrame) -> DataFrame:
 
 
 # --- emitted rows -----------------------------------------------------------------------------
-# Event: entity type, action, metadata keys. A key whose value is NULL is left out of the JSON.
-EVENTS = {
-    "generation_initiated": ("GENERATION_BATCH", "GENERATION_INITIATED", ("document_id", "template_version_id", "version_intent", "total_sections", "job_id")),
-    "section_completed": ("SECTION_OUTPUT", "SECTION_GENERATION_COMPLETED", ("batch_id", "section_id", "document_id", "content_hash", "content_length", "generation_duration_ms", "job_id")),
-    "section_failed": ("SECTION_OUTPUT", "SECTION_GENERATION_FAILED", ("batch_id", "section_id", "document_id", "error_code", "error_message", "retry_count", "job_id")),
-    "batch_completed": ("SECTION_OUTPUT_BATCH", "BATCH_GENERATION_COMPLETED", ("document_id", "completed_sections", "failed_sections", "total_sections", "job_id")),
-    "batch_failed": ("SECTION_OUTPUT_BATCH", "BATCH_GENERATION_FAILED", ("document_id", "error_code", "error_message", "job_id")),
-    "assembly_completed": ("ASSEMBLED_DOCUMENT", "DOCUMENT_ASSEMBLY_COMPLETED", ("document_id", "template_version_id", "version_intent", "total_blocks", "dynamic_blocks_count", "static_blocks_count", "injected_sections_count", "assembly_hash", "assembly_duration_ms", "job_id")),
-    "assembly_failed": ("ASSEMBLED_DOCUMENT", "DOCUMENT_ASSEMBLY_FAILED", ("document_id", "template_version_id", "version_intent", "error_code", "error_message", "job_id")),
-    "rendering_completed": ("RENDERED_DOCUMENT", "DOCUMENT_RENDERING_COMPLETED", ("document_id", "version", "output_path", "content_hash", "file_size_bytes", "total_blocks_rendered", "rendering_duration_ms", "job_id")),
-    "rendering_failed": ("RENDERED_DOCUMENT", "DOCUMENT_RENDERING_FAILED", ("document_id", "version", "error_code", "error_message", "job_id")),
-    "version_created": ("DOCUMENT_VERSION", "DOCUMENT_VERSION_CREATED", ("document_id", "version_number", "output_path", "content_hash", "job_id")),
-    "template_created": ("TEMPLATE", "CREATE", ("name",)),
-    "template_version_created": ("TEMPLATE_VERSION", "CREATE", ("template_id", "version_number")),
-    "document_created": ("DOCUMENT", "CREATE", ("template_version_id",)),
-    "template_switched": ("DOCUMENT", "UPDATE_TEMPLATE_VERSION", ("old_template_version_id", "new_template_version_id")),
-    "document_version_stored": ("DOCUMENT_VERSION", "CREATE", ("document_id", "version_number", "output_path", "content_hash")),
-    "current_version_moved": ("DOCUMENT", "UPDATE_CURRENT_VERSION", ("document_id", "new_current_version")),
-    "sections_classified": ("template_version", "sections_classified", ("total_sections", "static_sections", "dynamic_sections", "high_confidence_count", "rule_based_count", "llm_assisted_count", "fallback_count", "duration_ms", "success_rate")),
-}
-
-
 def emit(rows: DataFrame, event: str, entity_id: str) -> DataFrame:
     """Audit rows of one event for every row; metadata from the columns the rows have. Ids are strings."""
-    entity_type, action, keys = EVENTS[event]
+    entity_type, action, keys = K.AUDIT_EVENTS[event]
     present = [k for k in keys if k in rows.columns]
     ids = {k for k in present if k.endswith("_id") and k != "section_id"}
     values = [F.col(k).cast("string").alias(k) if k in ids else F.col(k) for k in present]

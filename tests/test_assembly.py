@@ -102,6 +102,9 @@ def test_stored_assemblies(spark):
     flags = [(r["is_complete"], r["is_failed"], r["can_be_rendered"]) for r in A.status_flags(stored).orderBy("batch_key").collect()]
     assert flags == [(True, False, True), (False, True, False), (True, False, False)]
     assert A.renderable(stored).count() == 1
+    assert [r["version_intent"] for r in A.find(stored, "d").collect()] == [2, 1]
+    assert [r["batch_key"] for r in A.find(stored, "d", validated=True).collect()] == ["b1"]
+    assert A.find(stored, status="FAILED", batch="b2").count() == 1
 
 
 def test_rendition(spark):
