@@ -138,7 +138,11 @@ def bounds(
     min_meaningful: int = K.MIN_MEANINGFUL,
 ) -> DataFrame:
     """Length of the trimmed content against the limits."""
-    rows = df.withColumn("content_length", F.length(F.coalesce(strip(content), F.lit(""))))
+    rows = once(df, {"content_length": F.length(F.coalesce(strip(content), F.lit("")))})
+    return _bounds(rows, min_length, max_length, min_meaningful)
+
+
+def _bounds(rows: DataFrame, min_length: int, max_length: int, min_meaningful: int = K.MIN_MEANINGFUL) -> DataFrame:
     n = F.col("content_length")
     empty, near = n == 0, (n > 0) & (n < min_meaningful)
     short, long = (n > 0) & (n < min_length), n > max_length
@@ -180,10 +184,14 @@ def _word_columns(rows: DataFrame) -> DataFrame:
 
 def boilerplate_hits(content: Column | str) -> Column:
     """Numbers (from 1) of the boilerplate patterns that hit the trimmed content."""
-    c = strip(content)
-    return F.array_compact(
-        F.array(*[F.when(F.rlike(c, F.lit(at_line(p, True))), F.lit(i + 1)) for i, p in enumerate(K.BOILERPLATE)])
-    )
+    return _boilerplate(strip(content))
+
+
+def _boilerplate(c: Column) -> Column:
+    """One pass with all patterns together; the single ones run only where that hits."""
+    anyone = F.rlike(c, F.lit(at_line("|".join(f"(?:{p})" for p in K.BOILERPLATE), True)))
+    each = [F.when(F.rlike(c, F.lit(at_line(p, True))), F.lit(i + 1)) for i, p in enumerate(K.BOILERPLATE)]
+    return F.when(anyone, F.array_compact(F.array(*each))).otherwise(F.array().cast("array<int>"))
 
 
 def quality(
@@ -193,22 +201,27 @@ def quality(
     max_repetition: float = K.MAX_REPETITION,
 ) -> DataFrame:
     """Repetition, boilerplate and vocabulary of the content; empty content is not valid."""
-    return _quality(once(df, _language(content)), content, min_unique_words, max_repetition)
+    return _quality(once(_trimmed(df, content), _language()), min_unique_words, max_repetition).drop("_text")
 
 
-def _language(content: str) -> dict[str, Column]:
-    c = F.coalesce(content, F.lit(""))
-    return {"_words": word_profile(c), "boilerplate_rules": boilerplate_hits(c)}
+def _trimmed(df: DataFrame, content: str) -> DataFrame:
+    """Trim once; length, patterns, words and the accepted text all start from it."""
+    return once(df, {"_text": F.coalesce(strip(content), F.lit(""))})
+
+
+def _language() -> dict[str, Column]:
+    c = F.col("_text")
+    return {"_words": word_profile(c), "boilerplate_rules": _boilerplate(c)}
 
 
 def _quality(
-    measured: DataFrame, content: str, min_unique_words: int = K.MIN_UNIQUE_WORDS, max_repetition: float = K.MAX_REPETITION
+    measured: DataFrame, min_unique_words: int = K.MIN_UNIQUE_WORDS, max_repetition: float = K.MAX_REPETITION
 ) -> DataFrame:
     rows = _word_columns(measured)
     repetitive = (F.col("total_words") >= 10) & (F.col("repetition_ratio") > max_repetition)
     poor = (F.col("unique_words") < min_unique_words) & (F.col("total_words") >= 5)
     boilerplate = F.size("boilerplate_rules") > 0
-    blank = is_blank(content)
+    blank = F.col("_text") == ""
     codes = F.when(blank, F.array(F.lit(K.EMPTY_CONTENT))).otherwise(
         present([(poor, K.NEAR_EMPTY_CONTENT), (repetitive, K.REPETITIVE_CONTENT), (boilerplate, K.BOILERPLATE_ONLY)])
     )
@@ -252,9 +265,9 @@ def verdict(
     and, with ``messages``, ``rejection_reason``. Empty content is judged on bounds alone.
     """
     before = df.columns
-    measured = once(df, {**_markup(content, checks, custom), **_language(content)})
-    rows = bounds(_structural(measured, content, custom, messages), content, min_length, max_length)
-    rows = _quality(rows, content)
+    measures = {**_markup(content, checks, custom), **_language(), "content_length": F.length("_text")}
+    rows = _structural(once(_trimmed(df, content), measures), content, custom, messages)
+    rows = _quality(_bounds(rows, min_length, max_length))
     empty = F.col("content_length") == 0
     rows = rows.withColumns({
         "structural_valid": empty | F.col("structural_valid"),
@@ -272,7 +285,7 @@ def verdict(
             (~F.col("quality_valid"), K.QUALITY_FAILURE),
         ]),
     })
-    trimmed = F.when(F.col("is_valid"), strip(content))
+    trimmed = F.when(F.col("is_valid"), F.col("_text"))
     rows = rows.withColumns({
         "is_retryable": F.coalesce(F.col("failure_type") == K.BOUNDS_VIOLATION, F.lit(False)),
         "validated_content": trimmed,

@@ -168,7 +168,7 @@ def document_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns are answers, system turns are failed calls; numbered from 0 per conversation."""
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role").isin("assistant", "system"))
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id").filter(F.col("role").isin("assistant", "system"))
     rows = turns.select(
         F.col("conv_id").alias("section_id"),
         "turn",
