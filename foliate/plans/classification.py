@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from foliate.operators import classify as C
 from foliate.plans import ddl
 from foliate.plans.registry import query
