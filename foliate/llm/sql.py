@@ -71,14 +71,14 @@ r AS (
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN whole THEN size ELSE 0 END + greatest(0, least(size, budget - before)) AS BIGINT) AS taken FROM r
 """
 
-_BASE32 = "list_transform(range(0, 8), j -> CAST('0x' || substr(h, CAST(5 * j + 1 AS INT), 5) AS INT))"
+_BASE32 = "list_transform(range(0, 8), lambda j: CAST('0x' || substr(h, CAST(5 * j + 1 AS INT), 5) AS INT))"
 
 WARC = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform({_BASE32}, v -> array_to_string(list_transform([15, 10, 5, 0],
-    k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> k) & 31) + 1 AS INT), 1)), '')), '') AS payload_digest,
+  array_to_string(list_transform({_BASE32}, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> k) & 31) + 1 AS INT), 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (h)
 """
