@@ -31,12 +31,12 @@ from foliate.llm.common import shared_dir, stored
 END = 2
 SCALE = 20
 LOW = 1 << 31
-LANES = 1024
-BLOCK = 1 << 18
+LANES = 4096
+BLOCK = 1 << 19
 #: Ids that one task encodes, about.
 TASK_IDS = 4 << 20
 #: Entries that a worker remembers of words and of pieces between blanks.
-WORDS, PIECES = 600_000, 200_000
+WORDS, PIECES = 1_200_000, 500_000
 
 BLOCKS = (
     "part int, block int, start bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, "
@@ -44,7 +44,8 @@ BLOCKS = (
 )
 
 #: A word whose ids do not depend on its neighbours, and a mark behind it.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"([{_LETTERS}]+)([.,]?)")
 
 
 class Encoder:
@@ -68,8 +69,16 @@ class Encoder:
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
+        self.letters = self._alphabet()
+        self.marks = dict(zip(".,", self._encode([".", ","])))
         self.plain = self._separable()
 
+    def _alphabet(self) -> dict[int, str]:
+        """What the tokenizer's own preparation makes of each lower-case letter."""
+        letters = [c for c in map(chr, range(0x61, 0x100)) if re.fullmatch(f"[{_LETTERS}]", c)]
+        split = self.library.pre_tokenizer
+        return {ord(c): split.pre_tokenize_str(c)[0][0] if split else c for c in letters}
+
     @classmethod
     def of(cls, model: str) -> "Encoder":
         key = hash(model)
@@ -80,7 +89,13 @@ class Encoder:
     def _separable(self) -> bool:
         """Whether this tokenizer treats pieces and marks as the class assumes."""
         whole, parts = "Word, other\nÉté. x", ["word", ",", "other", "été", ".", "x"]
-        return self._encode([whole])[0] == b"".join(self._encode(parts))
+        known = self._encode(parts)
+        words = [i for i in (0, 2, 3, 5) if self._word(parts[i]) != known[i]]
+        return not words and self._encode([whole])[0] == b"".join(known)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one lower-case word, by the library's model alone."""
+        return np.array([t.id for t in self.library.model.tokenize(word.translate(self.letters))], self.kind).tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -90,33 +105,31 @@ class Encoder:
         """Fill ``pieces`` with the ids of new ones."""
         if len(self.words) > WORDS:
             self.words.clear()
-        split, fresh, odd = [], {}, []
+        odd = []
+        words, known, plain, of = self.words, self.pieces, _PLAIN.fullmatch, self._word
         for piece in pieces:
-            text = piece.decode("utf-8", "replace")
-            m = _PLAIN.fullmatch(text)
-            if m:
-                word, mark = m[1].lower(), m[2]
-                split.append((piece, word, mark))
-                if word not in self.words:
-                    fresh[word] = None
-                if mark and mark not in self.words:
-                    fresh[mark] = None
-            else:
-                odd.append((piece, text))
-        self.words.update(zip(fresh, self._encode([*fresh])))
-        words = self.words
-        for piece, word, mark in split:
-            self.pieces[piece] = words[word] + words[mark] if mark else words[word]
-        self.pieces.update(zip((p for p, _ in odd), self._encode([t for _, t in odd])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes of ``kind``."""
+            m = plain(piece.decode())
+            if not m:
+                odd.append(piece)
+                continue
+            word, mark = m.groups()
+            word = word.lower()
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = of(word)
+            known[piece] = ids + self.marks[mark] if mark else ids
+        known.update(zip(odd, self._encode([p.decode() for p in odd])))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8), as bytes of ``kind``."""
         if not self.plain:
-            return self._encode(texts)
+            return self._encode([t.decode() for t in texts])
+        parts = [t.split() for t in texts]
+        mine = set().union(*parts)
         if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        parts = [t.encode().split() for t in texts]
-        new = {p for own in parts for p in own}.difference(self.pieces)
+            # Only what this slice needs stays.
+            self.pieces = {p: self.pieces[p] for p in mine & self.pieces.keys()}
+        new = mine - self.pieces.keys()
         if new:
             self._learn([*new])
         ids = self.pieces.__getitem__
@@ -134,7 +147,7 @@ def tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         width = len(last)
         for batch in batches:
             for part in A.slices(batch, "text"):
-                ids = [x + last for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [x + last for x in encoder.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])]
                 n = pa.array([len(x) // width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
