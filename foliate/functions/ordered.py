@@ -3,7 +3,8 @@
 A window over ``partitionBy(key)`` puts a whole key into one task. The functions here split every
 key into order-preserving buckets: the rows are windowed per (key, bucket), and only one summary row
 per bucket is windowed per key. ``bucket`` must be non-decreasing in the order, for example an id
-divided by a constant or the hour of a time stamp. Results equal the plain window's.
+divided by a constant or the hour of a time stamp. Results equal the plain window's, also for rows whose
+key or order is NULL: such rows form a group, and the first bucket, of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +30,15 @@ def hour_bucket(c: Column | str) -> Column:
     return F.unix_date(F.to_date(c)).cast("bigint") * 24 + F.hour(c)
 
 
+def _back(rows: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names in which NULL equals NULL; ``side`` is unique on them."""
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    named = side.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[c for c in side.columns if c not in on])
+    return rows.join(named, match, how).drop(*[f"_on_{c}" for c in on])
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "rank") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` as column ``name``."""
     keys = list(keys)
@@ -38,8 +48,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket:
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
-        rows.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_bucket"])
+        _back(rows.withColumn("_inside", inside), offsets, [*keys, "_bucket"])
         .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
         .drop("_bucket", "_inside", "_before")
     )
@@ -57,7 +66,7 @@ def lagged(
         *keys, "_bucket", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )
     inside = F.lag(value).over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    out = rows.withColumn("_inside", inside).join(carry, [*keys, "_bucket"])
+    out = _back(rows.withColumn("_inside", inside), carry, [*keys, "_bucket"])
     out = out.withColumn("_previous", F.coalesce("_inside", "_carry"))
     return out.withColumns({n: F.col("_previous")[n] for n in values}).drop(
         "_bucket", "_inside", "_carry", "_previous"
@@ -75,12 +84,14 @@ def asof(
 ) -> DataFrame:
     """Left rows with the values of the latest right row at or before their time (NULL if none).
 
-    Both sides are merged into one stream per (key, bucket), so no pair of rows is ever produced.
-    Right rows of one key must have distinct times.
+    Both sides are merged into one stream per (key, bucket), so no pair of rows is ever produced. Every
+    left row stays: a NULL key or time finds nothing. Of right rows with one time the largest values count.
     """
     keys = list(keys)
     payload = [c for c in left.columns if c not in keys]
     some = F.struct(*values)
+    for c in [*keys, right_time]:
+        right = right.filter(F.col(c).isNotNull())
     merged = left.select(
         *keys,
         F.col(left_time).alias("_t"),
@@ -94,48 +105,27 @@ def asof(
     last = (
         right.withColumn("_bucket", bucket(right_time))
         .groupBy(*keys, "_bucket")
-        .agg(F.max_by(some, F.col(right_time)).alias("_last"))
+        .agg(F.max_by(some, F.struct(F.col(right_time), some)).alias("_last"))
     )
     # Buckets that hold only left rows need a carry as well, so both sides name the buckets.
     buckets = merged.groupBy(*keys, "_bucket").agg(F.max(F.lit(1)).alias("_x")).drop("_x")
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carry = buckets.join(last, [*keys, "_bucket"], "left").select(
+    carry = _back(buckets, last, [*keys, "_bucket"], "left").select(
         *keys, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carry")
     )
-    upto = W.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    seen = merged.withColumn("_seen", F.last("_v", ignorenulls=True).over(upto)).filter(F.col("_side") == 1)
     return (
-        merged.withColumn("_seen", F.last("_v", ignorenulls=True).over(upto))
-        .filter(F.col("_side") == 1)
-        .join(carry, [*keys, "_bucket"])
+        _back(seen, carry, [*keys, "_bucket"])
         .withColumn("_hit", F.coalesce("_seen", "_carry"))
         .select(*keys, "_row.*", *[F.col("_hit")[v].alias(v) for v in values])
     )
 
 
-def join_copies(
-    rows: DataFrame,
-    groups: DataFrame,
-    keys: Sequence[str],
-    row_id: Column,
-    weight: str,
-    heavy: int = 1_000_000,
-) -> DataFrame:
+def join_copies(rows: DataFrame, groups: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Left join of many rows to one row per group, where one group may own a third of the rows.
 
-    ``groups`` is unique on ``keys`` and ``weight`` counts its rows. Groups above ``heavy`` rows
-    number at most (all rows / ``heavy``), so that list is broadcast by its proven size; the rows it
-    serves take part in the second join under a spread key that matches nothing. ``row_id`` spreads
-    them. The result has no ``weight`` column.
+    ``groups`` is unique on ``keys``; NULL keys match NULL. It is a plain left join whose large side is the left
+    one, so adaptive execution splits the partition of a heavy group. The result has no ``weight`` column.
     """
-    keys = list(keys)
-    values = [c for c in groups.columns if c not in keys and c != weight]
-    hot = groups.filter(F.col(weight) > heavy).select(*keys, F.struct(*values).alias("_hot"))
-    cold = groups.filter(F.col(weight) <= heavy).select(
-        *[F.col(k).cast("string").alias(f"_k_{k}") for k in keys], F.struct(*values).alias("_cold")
-    )
-    step = rows.join(F.broadcast(hot), keys, "left")
-    away = F.concat(F.lit("\0"), row_id.cast("string"))
-    spread = {f"_k_{k}": F.when(F.col("_hot").isNull(), F.col(k).cast("string")).otherwise(away) for k in keys}
-    out = step.withColumns(spread).join(cold, list(spread), "left")
-    hit = F.coalesce("_hot", "_cold")
-    return out.withColumns({v: hit[v] for v in values}).drop("_hot", "_cold", *spread)
+    return _back(rows, groups.drop(weight), list(keys), "left")

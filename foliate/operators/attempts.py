@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,23 @@ from foliate.functions.text import first_of
 from foliate.operators.validate import verdict
 
 
-def generate(inputs: DataFrame, text: Column | None = None, responses: DataFrame | None = None, failing: Column | None = None) -> DataFrame:
-    """Text for each input: a column, a response table joined on ``section_id``, or a fixed sentence.
+def generate(
+    inputs: DataFrame,
+    text: Column | None = None,
+    responses: DataFrame | None = None,
+    failing: Column | None = None,
+    on: Sequence[str] = ("template_version_id", "section_id"),
+) -> DataFrame:
+    """Text for each input: a column, a response table joined on ``on``, or a fixed sentence.
 
     ``text`` may be any expression, also an iterator ``pandas_udf`` that calls a model. ``failing``
-    marks inputs whose call fails.
+    marks inputs whose call fails. Section ids count from 1 inside each version, so a table of responses names both; of
+    several responses to one input the first text in order counts.
     """
     default = F.concat(F.lit("Deterministic content for section "), F.col("section_id").cast("string"))
     rows = inputs
     if responses is not None:
-        rows = rows.join(responses.select("section_id", F.col("text").alias("_response")), "section_id", "left")
+        rows = rows.join(responses.groupBy(*on).agg(F.min("text").alias("_response")), list(on), "left")
         default = F.coalesce("_response", F.lit("Generated content for section."))
     bad = F.lit(False) if failing is None else F.coalesce(failing, F.lit(False))
     rows = rows.withColumns({

@@ -30,7 +30,7 @@ def search(
     since: Column | None = None,
     until: Column | None = None,
     skip: int = 0,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Rows that meet all given conditions, newest first. Every condition reaches the scan."""
     conditions = [
@@ -46,7 +46,7 @@ def search(
     return _page(logs, skip, limit)
 
 
-def by_key(logs: DataFrame, name: str, value, skip: int = 0, limit: int | None = 100) -> DataFrame:
+def by_key(logs: DataFrame, name: str, value, skip: int = 0, limit: int | None = None) -> DataFrame:
     """Rows whose metadata name a document, template version or job; the whole log is searched."""
     return _page(logs.filter(meta(name) == str(value)), skip, limit)
 
@@ -65,7 +65,7 @@ def has_version(number: Column | int) -> Column:
     return hit
 
 
-def by_version(logs: DataFrame, document_id, number: int, skip: int = 0, limit: int | None = 100) -> DataFrame:
+def by_version(logs: DataFrame, document_id, number: int, skip: int = 0, limit: int | None = None) -> DataFrame:
     return _page(logs.filter((meta("document_id") == str(document_id)) & has_version(number)), skip, limit)
 
 

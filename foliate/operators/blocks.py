@@ -18,7 +18,7 @@ from foliate.functions.text import block_id, first_of, is_blank, strip
 DOC = "template_version_id"
 OUTLINE_BLOCKS = 50
 SUGGESTIONS = (
-    "array<struct<block_id:string,suggestion_type:string,confidence:double,new_level:int,reason:string>>"
+    "array<struct<block_id:string,suggestion_type:string,confidence:string,new_level:int,reason:string>>"
 )
 _LAYOUT = ("alignment", "indent_left", "indent_right", "indent_first_line", "spacing_before", "spacing_after")
 
@@ -265,13 +265,17 @@ def outline(block_rows: DataFrame, doc: str = DOC) -> DataFrame:
 
 # --- suggestions ------------------------------------------------------------------------------
 def parse_suggestions(replies: DataFrame, content: str = "content", doc: str = DOC) -> DataFrame:
-    """Reply texts, optionally in a code fence, as one row per suggestion; bad JSON gives none."""
+    """Reply texts, optionally in a code fence, as one row per suggestion; bad JSON gives none.
+
+    A suggestion without confidence has 0.5; one whose confidence is no number is skipped.
+    """
     text = strip(content)
     inner = F.when(text.startswith("```"), F.regexp_replace(F.get(F.split(text, "```"), 1), r"\Ajson", "")).otherwise(text)
     exploded = replies.select(doc, F.posexplode(F.from_json(inner, SUGGESTIONS)).alias("pos", "s"))
-    return exploded.filter(F.col("s.block_id").isNotNull() & F.col("s.suggestion_type").isNotNull()).select(
+    confidence = F.coalesce(F.col("s.confidence"), F.lit("0.5")).try_cast("double")
+    return exploded.filter(F.col("s.block_id").isNotNull() & F.col("s.suggestion_type").isNotNull() & confidence.isNotNull()).select(
         doc, "pos", "s.block_id", "s.suggestion_type",
-        F.coalesce("s.confidence", F.lit(0.5)).alias("confidence"),
+        confidence.alias("confidence"),
         "s.new_level", F.coalesce("s.reason", F.lit("")).alias("reason"),
     )
 

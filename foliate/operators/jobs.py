@@ -17,13 +17,14 @@ def payload(name: str) -> Column:
     return F.get_json_object("payload", f"$.{name}")
 
 
-def listing(jobs: DataFrame, status: str | None = None, job_type: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
-    """A page of jobs, newest first."""
+def listing(jobs: DataFrame, status: str | None = None, job_type: str | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """All jobs that meet the conditions, or a page of them, newest first."""
     if status:
         jobs = jobs.filter(F.col("status") == status)
     if job_type:
         jobs = jobs.filter(F.col("job_type") == job_type)
-    return jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).offset(skip).limit(limit)
+    jobs = jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).offset(skip)
+    return jobs if limit is None else jobs.limit(limit)
 
 
 def by_entity(jobs: DataFrame, entity_type: str, entity_id) -> DataFrame:

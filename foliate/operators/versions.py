@@ -11,14 +11,21 @@ from foliate.functions.text import sha
 DOC = "document_id"
 
 
-def place_arrivals(arrivals: DataFrame, existing: DataFrame | None = None, heavy: int = 1_000_000) -> DataFrame:
+def rejected_arrivals(arrivals: DataFrame) -> DataFrame:
+    """Arrivals that cannot be placed: without document, content hash or arrival number."""
+    return arrivals.filter(F.col(DOC).isNull() | F.col("content_hash").isNull() | F.col("arrival").isNull())
+
+
+def place_arrivals(arrivals: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Version number of every arrival ``(document_id, arrival, content_hash)``.
 
     Content already stored, or seen earlier in the batch, returns that version as a duplicate; new
     content gets the next number in order of arrival. Copies are counted away first (partial counts
     before the shuffle), numbering runs in buckets of arrival ids, and the numbers go back to the
-    copies by a join that spreads heavy groups. ``arrival`` is a unique integer.
+    copies by a join whose heavy groups adaptive execution splits. ``arrival`` is a unique integer. Rows that
+    lack a part of the key are not placed; ``rejected_arrivals`` has them.
     """
+    arrivals = arrivals.filter(F.col(DOC).isNotNull() & F.col("content_hash").isNotNull() & F.col("arrival").isNotNull())
     groups = arrivals.groupBy(DOC, "content_hash").agg(
         F.min("arrival").alias("first_arrival"), F.count(F.lit(1)).alias("_copies")
     )
@@ -37,7 +44,7 @@ def place_arrivals(arrivals: DataFrame, existing: DataFrame | None = None, heavy
         ).drop("_base")
     numbered = numbered.withColumn("_new", F.lit(True))
     placed = numbered if known is None else numbered.unionByName(known.select(*numbered.columns))
-    rows = join_copies(arrivals, placed, [DOC, "content_hash"], F.col("arrival"), "_copies", heavy)
+    rows = join_copies(arrivals, placed, [DOC, "content_hash"], "_copies")
     return rows.withColumn(
         "is_duplicate", ~(F.col("_new") & (F.col("arrival") == F.col("first_arrival")))
     ).drop("_new", "first_arrival")
@@ -134,6 +141,7 @@ def parsing_state(events: DataFrame) -> DataFrame:
     )
 
 
-def listing(rows: DataFrame, created: str = "created_at", tie: str = DOC, skip: int = 0, limit: int = 100) -> DataFrame:
-    """A page, newest first."""
-    return rows.orderBy(F.col(created).desc(), F.col(tie).desc()).offset(skip).limit(limit)
+def listing(rows: DataFrame, created: str = "created_at", tie: str = DOC, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """All rows, or a page, newest first."""
+    rows = rows.orderBy(F.col(created).desc(), F.col(tie).desc()).offset(skip)
+    return rows if limit is None else rows.limit(limit)

@@ -301,3 +301,17 @@ def assembly_readiness(spark, sf_dir):
 )
 def output_flags(spark, sf_dir):
     return R.flags(outputs(spark, sf_dir)).select("section_id", "is_successful", "is_failed", "is_retry_exhausted", "can_retry")
+
+
+@query(
+    "generated_responses",
+    ddl.with_(ddl.BLOCKS)
+    + """SELECT template_version_id, sequence AS section_id, CASE WHEN sequence % 2 = 0
+      THEN 'Reply ' || template_version_id || '/' || sequence ELSE 'Generated content for section.' END AS raw_output FROM blocks""",
+)
+def generated_responses(spark, sf_dir):
+    """A response table over the sections of all versions; ids repeat between versions."""
+    inputs = T.text_blocks(spark, sf_dir).select("template_version_id", F.col("sequence").alias("section_id"))
+    reply = F.concat_ws("/", F.concat(F.lit("Reply "), F.col("template_version_id").cast("string")), F.col("section_id").cast("string"))
+    responses = inputs.filter("section_id % 2 = 0").select("template_version_id", "section_id", reply.alias("text"))
+    return R.generate(inputs, responses=responses).select("template_version_id", "section_id", "raw_output")

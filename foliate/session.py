@@ -31,13 +31,14 @@ def build_session(master: str | None = None, app: str = "foliate", **conf: str)
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    On a cluster the session names the shared folder. Only where it names none (tests, a laptop)
-    is a local one set.
+    Where the session names none, the folder of ``setCheckpointDir`` serves. Without either, a session in one
+    local process (tests, a laptop) gets a folder of its own; a cluster fails, as each executor would write to its own disk.
+    The caller removes what it asked for.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="foliate-")
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root.rstrip("/"), f"{purpose}-{uuid.uuid4().hex}")

@@ -54,9 +54,25 @@ def _text(run) -> str:
     return "".join(out)
 
 
+def _runs(p):
+    """Runs of a paragraph in order, those inside hyperlinks included."""
+    for node in p:
+        if node.tag == W + "r":
+            yield node
+        elif node.tag == W + "hyperlink":
+            yield from node.findall(W + "r")
+
+
+def _cells(row):
+    """Cells of a table row by grid column: a cell that spans several counts for each."""
+    for cell in row.findall(W + "tc"):
+        span = _val(cell.find(W + "tcPr"), "gridSpan")
+        yield from [cell] * (int(span) if span and span.isdigit() else 1)
+
+
 def _paragraph(p, styles: dict) -> dict:
     props, runs, broken = p.find(W + "pPr"), [], False
-    for run in p.findall(W + "r"):
+    for run in _runs(p):
         broken |= any(b.get(W + "type") == "page" for b in run.findall(W + "br"))
         look = run.find(W + "rPr")
         size = _val(look, "sz")
@@ -114,7 +130,7 @@ def _elements(content: bytes) -> Iterator[tuple]:
                 yield "body", 0, None, ord_, "p", _paragraph(node, styles)
             elif node.tag == W + "tbl":
                 table = [
-                    [[_paragraph(p, styles) for p in cell.findall(W + "p")] for cell in row.findall(W + "tc")]
+                    [[_paragraph(p, styles) for p in cell.findall(W + "p")] for cell in _cells(row)]
                     for row in node.findall(W + "tr")
                 ]
                 slim = [[[{"text": p["text"], "runs": p["runs"]} for p in cell] for cell in row] for row in table]
@@ -125,13 +141,16 @@ def _elements(content: bytes) -> Iterator[tuple]:
     if "word/_rels/document.xml.rels" in archive.namelist():
         for rel in ET.fromstring(archive.read("word/_rels/document.xml.rels")):
             links[rel.get("Id")] = "word/" + rel.get("Target", "").lstrip("/")
+    # A section without a header or footer of its own has that of the section before.
+    shown: dict[tuple[str, str], str | None] = {}
     for number, section in enumerate(body.iter(W + "sectPr")):
         for kind in ("header", "footer"):
             for ref in section.findall(f"{W}{kind}Reference"):
-                target = links.get(ref.get(R + "id"))
-                if target in archive.namelist():
-                    for i, p in enumerate(ET.fromstring(archive.read(target)).findall(W + "p")):
-                        yield kind, number, ref.get(W + "type", "default"), i, "p", _paragraph(p, styles)
+                shown[kind, ref.get(W + "type", "default")] = links.get(ref.get(R + "id"))
+        for (kind, name), target in shown.items():
+            if target in archive.namelist():
+                for i, p in enumerate(ET.fromstring(archive.read(target)).findall(W + "p")):
+                    yield kind, number, name, i, "p", _paragraph(p, styles)
     if "docProps/core.xml" in archive.namelist():
         names = {"title", "creator", "subject", "keywords", "created", "modified", "revision"}
         found = {n.tag.split("}")[-1]: n.text or "" for n in ET.fromstring(archive.read("docProps/core.xml"))}

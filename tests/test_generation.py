@@ -147,10 +147,18 @@ def test_generators(spark):
     made = {r["section_id"]: (r["llm_ok"], r["raw_output"]) for r in R.generate(df, failing=F.col("section_id") == 2).collect()}
     assert made == {1: (True, "Deterministic content for section 1"), 2: (False, ""), 3: (True, "Deterministic content for section 3")}
     answers = spark.createDataFrame([(1, "mine")], "section_id bigint, text string")
-    assert {r["section_id"]: r["raw_output"] for r in R.generate(df, responses=answers).collect()}[2] == "Generated content for section."
+    assert {r["section_id"]: r["raw_output"] for r in R.generate(df, responses=answers, on=["section_id"]).collect()}[2] == "Generated content for section."
     assert R.generate(df, text=F.upper(F.lit("x"))).first()["raw_output"] == "X"
 
 
+def test_responses_of_two_documents(spark):
+    """Section ids repeat between documents; texts must not mix."""
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "template_version_id string, section_id bigint")
+    answers = spark.createDataFrame([("a", 1, "of a"), ("b", 1, "of b")], "template_version_id string, section_id bigint, text string")
+    made = {tuple(r)[:2]: r["raw_output"] for r in R.generate(rows, responses=answers).collect()}
+    assert made == {("a", 1): "of a", ("a", 2): "Generated content for section.", ("b", 1): "of b"}
+
+
 def test_backoff_and_eligibility(spark):
     df = spark.range(6)
     assert [r[0] for r in df.select(R.backoff_seconds(F.col("id"))).collect()] == [1, 2, 4, 8, 16, 16]

@@ -15,7 +15,7 @@ def test_versions_dedupe_and_number(spark):
     a = spark.createDataFrame([("d", 10, "h1"), ("d", 20, "h2"), ("d", 30, "h1"), ("d", 200000, "h3"), ("e", 15, "h1")], ARRIVAL)
     got = {(r["document_id"], r["arrival"]): (r["version_number"], r["is_duplicate"]) for r in N.place_arrivals(a).collect()}
     assert got == {("d", 10): (1, False), ("d", 20): (2, False), ("d", 30): (1, True), ("d", 200000): (3, False), ("e", 15): (1, False)}
-    hot = {(r["document_id"], r["arrival"]): (r["version_number"], r["is_duplicate"]) for r in N.place_arrivals(a, heavy=1).collect()}
+    hot = {(r["document_id"], r["arrival"]): (r["version_number"], r["is_duplicate"]) for r in N.place_arrivals(a).collect()}
     assert hot == got
     stored = N.new_versions(N.place_arrivals(a))
     again = N.place_arrivals(a.unionByName(spark.createDataFrame([("d", 300001, "h9")], ARRIVAL)), stored)

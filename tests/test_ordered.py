@@ -41,8 +41,38 @@ def test_asof_equals_brute_force(spark, events):
     assert got.count() == left.count()
 
 
-@pytest.mark.parametrize("heavy", [1, 200, 10**6])
-def test_join_copies(events, heavy):
+def test_join_copies(events):
     groups = events.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("m"))
-    got = O.join_copies(events, groups, ["key"], F.col("id"), "n", heavy)
-    same(got, events.join(groups.drop("n"), "key"))
+    same(O.join_copies(events, groups, ["key"], "n"), events.join(groups.drop("n"), "key"))
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """NULL keys, ids and times, ties, hashed ids and one hot key."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(800):
+        key = rng.choice([None, "hot", "hot", "a", "b"])
+        rows.append((key, None if i % 97 == 0 else hash((i, 7)) % 10**12, None if i % 31 == 0 else rng.randrange(60)))
+    return spark.createDataFrame(rows, "key string, id bigint, v int").repartition(4).cache()
+
+
+def test_ranked_and_lagged_keep_nulls(holes):
+    order = [F.col("id"), F.col("v")]
+    w = W.partitionBy("key").orderBy(*order)
+    got = O.ranked(holes, ["key"], order, O.id_bucket("id", 10**11), "r")
+    assert got.count() == holes.count()
+    same(got.select("key", "id", "r"), holes.withColumn("r", F.row_number().over(w).cast("bigint")).select("key", "id", "r"))
+    lagged = O.lagged(holes.filter("id is not null"), ["key"], order, O.id_bucket("id", 10**11), {"p": F.col("v")})
+    same(lagged, holes.filter("id is not null").withColumn("p", F.lag("v").over(w)))
+
+
+def test_asof_keeps_every_left_row(holes):
+    left = holes.select("key", "id", F.col("v").alias("t"))
+    right = holes.filter("v % 3 = 0 or v is null").select("key", F.col("v").alias("at"), F.col("id").alias("hit"))
+    got = O.asof(left, right, ["key"], "t", "at", ["hit"], bucket=lambda c: F.floor(F.col(c) / 20)).collect()
+    assert len(got) == left.count()
+    r = [(x["key"], x["at"], x["hit"]) for x in right.collect() if x["key"] is not None and x["at"] is not None]
+    for row in got:
+        seen = [(at, hit is not None, hit) for k, at, hit in r if k == row["key"] and row["t"] is not None and at <= row["t"]]
+        assert row["hit"] == (max(seen)[2] if seen else None)
