@@ -110,7 +110,7 @@ def smallest_seen(
         order = np.lexsort((who, key))
         key, who = key[order], who[order]
         at = _cut(key)
-        ends = np.append(at[1:], len(key)) - 1
+        ends = np.append(at, len(key))[1:] - 1
         key, several = key[at], who[at] != who[ends]
         bucket = (key % A.U(parts)).astype(np.int64)
         order = np.lexsort((key, bucket))
@@ -172,7 +172,7 @@ def smallest_seen(
         order = np.lexsort((who, content, bucket))
         bucket, content, who, start, count = (x[order] for x in (bucket, content, who, start, count))
         at = np.flatnonzero(np.concatenate(([True], (content[1:] != content[:-1]) | (bucket[1:] != bucket[:-1])))) if len(content) else np.zeros(0, int)
-        ends = np.append(at[1:], len(content)) - 1
+        ends = np.append(at, len(content))[1:] - 1
         low, high = who[at], who[ends]
         bucket, content, start, count = bucket[at], content[at], start[at], count[at]
         first, last = u.byte_range(start, start + count + window - 1) if len(start) else (start, start)

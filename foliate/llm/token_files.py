@@ -69,6 +69,8 @@ class Encoder:
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
+        size = self.library.get_vocab_size()
+        self.codes = [np.array([i], self.kind).tobytes() for i in range(size)]
         self.letters = self._alphabet()
         self.marks = dict(zip(".,", self._encode([".", ","])))
         self.plain = self._separable()
@@ -95,7 +97,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one lower-case word, by the library's model alone."""
-        return np.array([t.id for t in self.library.model.tokenize(word.translate(self.letters))], self.kind).tobytes()
+        return b"".join([self.codes[t.id] for t in self.library.model.tokenize(word.translate(self.letters))])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -146,7 +148,7 @@ def tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         last = np.array([end], encoder.kind).tobytes()
         width = len(last)
         for batch in batches:
-            for part in A.slices(batch, "text"):
+            for part in A.slices(batch, "text", 16 << 20):
                 ids = [x + last for x in encoder.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])]
                 n = pa.array([len(x) // width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
@@ -312,9 +314,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         coder = Coder(shared.value)
         for batch in batches:
             for r in batch.to_pylist():
-                words = np.frombuffer(r["words"], "<u4")
-                if crc(words) != r["words_crc"]:
+                if zlib.crc32(r["words"]) != r["words_crc"]:
                     raise ValueError(f"block {r['part']}/{r['block']}: damaged words")
+                words = np.frombuffer(r["words"], "<u4")
                 ids = coder.decode(r["n_ids"], np.frombuffer(r["states"], "<u8"), words)
                 if crc(ids.astype("<u4")) != r["ids_crc"]:
                     raise ValueError(f"block {r['part']}/{r['block']}: wrong ids")
