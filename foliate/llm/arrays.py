@@ -207,8 +207,18 @@ def unpack(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
-    """Row ranges of a batch with at most ``limit`` bytes of text each (or one row)."""
+#: What a worker process remembers between tasks, by owner.
+MEMORIES: dict[str, object] = {}
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20, owner: str | None = None):
+    """Row ranges of a batch with at most ``limit`` bytes of text each (or one row).
+
+    A worker serves tasks of several operators; what others than ``owner`` have remembered is dropped first.
+    """
+    for name in [*MEMORIES]:
+        if name != owner:
+            del MEMORIES[name]
     column = batch.column(batch.schema.get_field_index(text))
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size.astype(np.int64))

@@ -36,7 +36,8 @@ BLOCK = 1 << 19
 #: Ids that one task encodes, about.
 TASK_IDS = 4 << 20
 #: Entries that a worker remembers of words and of pieces between blanks.
-WORDS, PIECES = 1_200_000, 500_000
+WORDS, PIECES = 600_000, 300_000
+OWNER = "tokens"
 
 BLOCKS = (
     "part int, block int, start bigint, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, "
@@ -56,8 +57,6 @@ class Encoder:
     goes to the library as it is.
     """
 
-    _made: dict[int, "Encoder"] = {}
-
     def __init__(self, model: str):
         import os
 
@@ -83,10 +82,11 @@ class Encoder:
 
     @classmethod
     def of(cls, model: str) -> "Encoder":
-        key = hash(model)
-        if key not in cls._made:
-            cls._made[key] = cls(model)
-        return cls._made[key]
+        """This worker's encoder, with what it remembers."""
+        held = A.MEMORIES.get(OWNER)
+        if held is None or held[0] != model:
+            held = A.MEMORIES[OWNER] = model, cls(model)
+        return held[1]
 
     def _separable(self) -> bool:
         """Whether this tokenizer treats pieces and marks as the class assumes."""
@@ -148,7 +148,7 @@ def tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         last = np.array([end], encoder.kind).tobytes()
         width = len(last)
         for batch in batches:
-            for part in A.slices(batch, "text", 16 << 20):
+            for part in A.slices(batch, "text", owner=OWNER):
                 ids = [x + last for x in encoder.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])]
                 n = pa.array([len(x) // width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
