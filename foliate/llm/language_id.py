@@ -74,16 +74,16 @@ def trained(docs: DataFrame, label: str = "lang", rows: int = SAMPLE) -> tuple[l
                     mine = np.array([x == name for x in names])
                     own = codes[np.repeat(mine, np.diff(limits))]
                     totals[name] = totals.get(name, 0) + np.bincount(own, minlength=CLASSES)
-        names = [*totals]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([totals[x].astype("<i8").tobytes() for x in names], pa.binary())], ["lang", "counts"]
-        )
-
-    # A few rows of CLASSES counts for each language and task of the sample.
-    found = sample(docs, label, rows).select("text", F.col(label).cast("string")).mapInArrow(count, "lang string, counts binary").collect()
-    totals: dict[str, np.ndarray] = {}
-    for r in found:
-        totals[r.lang] = totals.get(r.lang, 0) + np.frombuffer(r.counts, "<i8")
+        for name, counts in totals.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "code", "n"])
+
+    counted = sample(docs, label, rows).select("text", F.col(label).cast("string")).mapInArrow(count, "lang string, code bigint, n bigint")
+    # Summed before they leave the executors: at most CLASSES rows for each language.
+    found = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    langs = np.array(found.column("lang").to_pylist(), object)
+    codes, n = found.column("code").to_numpy(), found.column("n").to_numpy()
+    totals = {x: np.bincount(codes[langs == x], n[langs == x], CLASSES) for x in {*langs}}
     names = sorted(totals)
     model = [np.log((totals[x] + START) / (totals[x].sum() + START * CLASSES)) for x in names]
     return [*names, NONE], np.array([*model, np.full(CLASSES, -np.log(CLASSES))], np.float32)
