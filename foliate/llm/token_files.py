@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,8 +36,8 @@ LANES = 4096
 BLOCK = 1 << 19
 #: Ids that one task encodes, about.
 TASK_IDS = 4 << 20
-#: Entries that a worker remembers of words and of pieces between blanks.
-WORDS, PIECES = 600_000, 300_000
+#: Pieces between blanks that a worker remembers.
+PIECES = 900_000
 OWNER = "tokens"
 
 BLOCKS = (
@@ -52,8 +53,9 @@ _PLAIN = re.compile(f"([{_LETTERS}]+)([.,]?)")
 class Encoder:
     """The library's ids of whole texts, with the ids of frequent pieces remembered.
 
-    The tokenizer drops white space and never joins what it separates, so a text is encoded piece by piece. A piece
-    of Latin letters, or one with a full stop or comma behind it, is its lower-case word and its mark; any other piece
+    The tokenizer drops white space and never joins what it separates, so a text is encoded piece by piece. It takes
+    all text in lower case, so ASCII letters are lowered first, except where a text may name a special id. A piece
+    of Latin letters, or one with a full stop or comma behind it, is its word and its mark; any other piece
     goes to the library as it is.
     """
 
@@ -64,14 +66,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
-        self.library.encode_special_tokens = True
+        self._tokenize = self.library.model.tokenize
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
         size = self.library.get_vocab_size()
         self.codes = [np.array([i], self.kind).tobytes() for i in range(size)]
         self.letters = self._alphabet()
         self.marks = dict(zip(".,", self._encode([".", ","])))
+        special = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) if special else b"(?!)")
         self.plain = self._separable()
 
     def _alphabet(self) -> dict[int, str]:
@@ -90,14 +93,14 @@ class Encoder:
 
     def _separable(self) -> bool:
         """Whether this tokenizer treats pieces and marks as the class assumes."""
-        whole, parts = "Word, other\nÉté. x", ["word", ",", "other", "été", ".", "x"]
+        whole, parts = "WORD, other\nÉté. x", ["word", ",", "other", "été", ".", "x"]
         known = self._encode(parts)
         words = [i for i in (0, 2, 3, 5) if self._word(parts[i]) != known[i]]
         return not words and self._encode([whole])[0] == b"".join(known)
 
     def _word(self, word: str) -> bytes:
         """Ids of one lower-case word, by the library's model alone."""
-        return b"".join([self.codes[t.id] for t in self.library.model.tokenize(word.translate(self.letters))])
+        return b"".join([self.codes[t.id] for t in self._tokenize(word if word.isascii() else word.translate(self.letters))])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -105,37 +108,51 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Fill ``pieces`` with the ids of new ones."""
-        if len(self.words) > WORDS:
-            self.words.clear()
         odd = []
-        words, known, plain, of = self.words, self.pieces, _PLAIN.fullmatch, self._word
+        known, plain, of = self.pieces, _PLAIN.fullmatch, self._word
         for piece in pieces:
+            if piece.isalpha():
+                if piece not in known:
+                    known[piece] = of(piece.decode().lower())
+                continue
             m = plain(piece.decode())
             if not m:
                 odd.append(piece)
                 continue
             word, mark = m.groups()
-            word = word.lower()
-            ids = words.get(word)
+            key = piece[: len(piece) - len(mark)]
+            ids = known.get(key)
             if ids is None:
-                ids = words[word] = of(word)
-            known[piece] = ids + self.marks[mark] if mark else ids
+                ids = known[key] = of(word.lower())
+            if mark:
+                known[piece] = ids + self.marks[mark]
         known.update(zip(odd, self._encode([p.decode() for p in odd])))
 
+    def _lowered(self, text: bytes) -> bytes:
+        """ASCII letters in lower case, unless that might turn other words into a special one."""
+        low = text.lower()
+        return text if self.special.search(low) else low
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8), as bytes of ``kind``."""
         if not self.plain:
             return self._encode([t.decode() for t in texts])
-        parts = [t.split() for t in texts]
-        mine = set().union(*parts)
+        lists = pc.ascii_split_whitespace(pa.array([self._lowered(t) for t in texts], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.cast(pa.large_binary()).to_pylist()
         if len(self.pieces) > PIECES:
             # Only what this slice needs stays.
-            self.pieces = {p: self.pieces[p] for p in mine & self.pieces.keys()}
-        new = mine - self.pieces.keys()
-        if new:
-            self._learn([*new])
-        ids = self.pieces.__getitem__
-        return [b"".join(map(ids, own)) for own in parts]
+            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
+        self._learn([p for p in pieces if p not in self.pieces])
+        own = [*map(self.pieces.__getitem__, pieces)]
+        width = len(self.codes[0])
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // width
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        ids = np.frombuffer(b"".join(own), self.kind)[A.ranges(starts[at], sizes[at])].tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes[at]))) * width
+        limits = ends[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))].tolist()
+        return [ids[i:j] for i, j in zip(limits, limits[1:])]
 
 
 def tokens(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
