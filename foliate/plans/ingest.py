@@ -38,9 +38,9 @@ def packed_documents(spark, sf_dir):
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                content = b"" if doc_id % 50 == 7 else b"no archive" if doc_id % 50 == 8 else _pack(text)
-                yield pd.DataFrame({"key": [doc_id], "content": [content]})
+            odd = {7: b"", 8: b"no archive"}
+            content = [odd[k % 50] if k % 50 in odd else _pack(text) for k, text in zip(batch["doc_id"], batch["text"])]
+            yield pd.DataFrame({"key": batch["doc_id"], "content": content})
 
     return T.documents(spark, sf_dir).select("doc_id", "text").mapInPandas(pack, "key bigint, content binary")
 
@@ -157,6 +157,24 @@ def stream_states(spark, sf_dir):
     )
 
 
+@query(
+    "stream_alerts",
+    "WITH RECURSIVE " + _EVENTS + """,
+fine AS (SELECT user_id * 1000 + k AS user_id, event_id, ts, status FROM ev),
+""" + _FOLD.replace("FROM ev", "FROM fine")
+    + """
+SELECT f.job_id, l.ts AS silent_since, f.state AS status FROM (SELECT job_id, arg_max(state, rn) AS state FROM fold GROUP BY job_id) f
+JOIN (SELECT user_id, max(ts) AS ts FROM fine GROUP BY user_id) l ON l.user_id = f.job_id
+WHERE f.state = 'RUNNING' AND epoch_ms(l.ts) + 30 * 60000 < (SELECT epoch_ms(max(ts)) FROM ev) - 10 * 60000""",
+)
+def stream_alerts(spark, sf_dir):
+    """Running jobs, here one per user and key, that have been silent for too long by the watermark."""
+    fine = _event_stream(spark, sf_dir).withColumn("user_id", F.col("user_id") * 1000 + F.col("k"))
+    changes = S.run_available(S.job_states(T.job_events_of(fine)), "alerts")
+    alerts = changes.filter("verdict = 'stuck'")
+    return alerts.select("job_id", F.col("ts").cast("timestamp_ntz").alias("silent_since"), "status")
+
+
 _SESSIONS = _EVENTS + """,
 beats AS (SELECT 'w' || user_id % 10 AS worker_id, ts FROM ev),
 marked AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY worker_id ORDER BY ts) + INTERVAL 1 HOUR, true) AS starts FROM beats),

@@ -17,16 +17,20 @@ _CUT = r"""cut AS (
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
       '(?is)<!--.*?-->|<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>', '', 'g'),
       '(?i)<(h[1-6]|p|li)(?:[ \t\n\r/][^>]*)?>', chr(1) || '\1' || chr(2), 'g'),
-      '(?i)</?(?:h[1-6]|p|li|ul|ol|nav|article|section|div|body|html|head|header|footer|aside|main|form|blockquote)(?:[ \t\n\r/][^>]*)?>', chr(1) || '-' || chr(2), 'g'),
+      '(?i)</?(?:h[1-6]|p|li|ul|ol|nav|article|section|div|body|html|head|header|footer|aside|main|form|blockquote|table|thead|tbody|tfoot|tr|td|th|caption|dl|dt|dd|pre|figure|figcaption|option)(?:[ \t\n\r/][^>]*)?>', chr(1) || '-' || chr(2), 'g'),
       '<[^>]*>', '', 'g'), chr(1)) AS pieces
   FROM pages),
 pieces AS (
   SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS ord FROM cut),
-""" + f"""elements AS (
-  SELECT page_id AS template_version_id, ord - 1 AS ord, lower(split_part(piece, chr(2), 1)) AS tag,
-    {ddl.strip('''replace(replace(replace(replace(replace(split_part(piece, chr(2), 2), '&lt;', '<'), '&gt;', '>'),
-      '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')''')} AS text
-  FROM pieces WHERE contains(piece, chr(2)) AND split_part(piece, chr(2), 1) <> '-')"""
+named AS (
+  SELECT page_id, ord, CASE WHEN contains(piece, chr(2)) THEN lower(split_part(piece, chr(2), 1)) ELSE '-' END AS tag,
+    CASE WHEN contains(piece, chr(2)) THEN split_part(piece, chr(2), 2) ELSE piece END AS raw FROM pieces),
+""" + f"""plain AS (
+  SELECT page_id, ord, tag, {ddl.strip('''replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'),
+      '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&')''')} AS text FROM named),
+elements AS (
+  SELECT page_id AS template_version_id, ord - 1 AS ord, CASE tag WHEN '-' THEN 'p' ELSE tag END AS tag, text
+  FROM plain WHERE tag <> '-' OR text <> '')"""
 
 # Numbering by an explicit walk over the kept elements: items count, each list counts once more.
 _HTML_BLOCKS = _CUT + """,
@@ -88,6 +92,25 @@ def html_block_rows(spark, sf_dir):
     )
 
 
+@query(
+    "page_text",
+    r"""WITH shown AS (
+  SELECT page_id, regexp_replace(regexp_replace(html,
+    '(?is)<!--.*?-->|<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>', '', 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+decoded AS (
+  SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '),
+    '&amp;', '&'), '[ \t\n\r\f\v]', '', 'g') AS t FROM shown)
+SELECT page_id AS template_version_id, length(t) AS letters, md5(t) AS digest FROM decoded WHERE t <> ''""",
+)
+def page_text(spark, sf_dir):
+    """All visible text of a page is in its elements: letters and digest of the texts without white space."""
+    texts = T.html_elements(spark, sf_dir).filter(F.col("text") != "")
+    pieces = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    rows = texts.groupBy("template_version_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("t"))
+    bare = rows.select("template_version_id", F.regexp_replace("t", r"[ \t\n\r\f\x0B]", "").alias("t"))
+    return bare.select("template_version_id", F.length("t").cast("bigint").alias("letters"), F.md5("t").alias("digest"))
+
+
 @query(
     "list_items",
     ddl.with_(_HTML_BLOCKS, f"""items AS (

@@ -79,7 +79,7 @@ def text_blocks_of(docs: DataFrame) -> DataFrame:
 # Cut marks: \x01 starts a piece, \x02 ends its tag name.
 _NOISE = r"(?is)<!--.*?-->|<(?:script|style|title)[^>]*>.*?</(?:script|style|title)>"
 _OPEN = r"(?i)<(h[1-6]|p|li)(?:[ \t\n\r/][^>]*)?>"
-_CLOSE = r"(?i)</?(?:h[1-6]|p|li|ul|ol|nav|article|section|div|body|html|head|header|footer|aside|main|form|blockquote)(?:[ \t\n\r/][^>]*)?>"
+_CLOSE = r"(?i)</?(?:h[1-6]|p|li|ul|ol|nav|article|section|div|body|html|head|header|footer|aside|main|form|blockquote|table|thead|tbody|tfoot|tr|td|th|caption|dl|dt|dd|pre|figure|figcaption|option)(?:[ \t\n\r/][^>]*)?>"
 _TAG = r"<[^>]*>"
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -91,7 +91,10 @@ def _entities(c: Column) -> Column:
 
 
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings, paragraphs and list items of every page, in order, as raw elements."""
+    """Headings, paragraphs and list items of every page, in order, as raw elements.
+
+    Text outside of these (in a div, a table cell, or bare) is a paragraph, so all visible text is kept.
+    """
     pages = spread(table(spark, sf_dir, "pages"), "page_id")
     html = F.regexp_replace("html", _NOISE, "")
     html = F.regexp_replace(html, _OPEN, "\x01$1\x02")
@@ -99,13 +102,13 @@ def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.regexp_replace(html, _TAG, "")
     cut = once(pages.select(F.col("page_id").alias("template_version_id"), "html"), {"pieces": F.split(html, "\x01")})
     pieces = cut.select("template_version_id", F.posexplode("pieces").alias("ord", "piece"))
-    tag = F.lower(F.substring_index("piece", "\x02", 1))
+    tag = F.when(F.col("piece").contains("\x02"), F.lower(F.substring_index("piece", "\x02", 1))).otherwise("-")
     pieces = pieces.withColumns(
         {"tag": tag, "text": strip(_entities(F.substring_index("piece", "\x02", -1)))}
-    ).filter(F.col("piece").contains("\x02") & (F.col("tag") != "-"))
+    ).filter((F.col("tag") != "-") | (F.col("text") != ""))
     style = (
         F.when(F.col("tag") == "li", "List Bullet")
-        .when(F.col("tag") == "p", "Normal")
+        .when(F.col("tag").isin("p", "-"), "Normal")
         .otherwise(F.concat(F.lit("Heading "), F.substring("tag", 2, 1)))
     )
     return pieces.select(

@@ -35,16 +35,18 @@ def notifications(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.filter((F.col("job_id") != "") & F.col("job_type").isin(*K.JOB_TYPES))
 
 
-def _fold(stuck_ms: int):
+def _fold(stuck_ms: int, retain_ms: int):
     legal = set(K.LEGAL_TRANSITIONS)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current, since = state.get if state.exists else (None, None)
         if state.hasTimedOut:
+            if current != "RUNNING":
+                state.remove()
+                return
             state.update((current, since))
-            if current == "RUNNING":
-                at = pd.Timestamp(since, unit="us")
-                yield pd.DataFrame([(key[0], at, current, current, "stuck")], columns=["job_id", "ts", "previous_status", "status", "verdict"])
+            at = pd.Timestamp(since, unit="us")
+            yield pd.DataFrame([(key[0], at, current, current, "stuck")], columns=["job_id", "ts", "previous_status", "status", "verdict"])
             return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         out = []
@@ -56,24 +58,24 @@ def _fold(stuck_ms: int):
                 current = status
             since = ts.value // 1000
         state.update((current, since))
-        if current == "RUNNING":
-            deadline = since // 1000 + stuck_ms
-            if deadline > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(deadline)
+        if current != "PENDING":
+            deadline = since // 1000 + (stuck_ms if current == "RUNNING" else retain_ms)
+            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["job_id", "ts", "previous_status", "status", "verdict"])
 
     return fold
 
 
-def job_states(events: DataFrame, delay: str = "10 minutes", stuck_minutes: int = K.STUCK_MINUTES) -> DataFrame:
+def job_states(events: DataFrame, delay: str = "10 minutes", stuck_minutes: int = K.STUCK_MINUTES, retain_days: int = 30) -> DataFrame:
     """State machine per job: every event accepted or illegal, and an alert for silent RUNNING jobs.
 
     An illegal event leaves the state as it is. State per job is one status and one time; rows of a
-    micro-batch are folded in time order.
+    micro-batch are folded in time order. A finished job is forgotten ``retain_days`` after its last event; an event
+    that comes later still starts a new history.
     """
     rows = events.select("job_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "status", "reason")
     return rows.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        _fold(stuck_minutes * 60_000), CHANGES, "status string, since bigint", "append", GroupStateTimeout.EventTimeTimeout
+        _fold(stuck_minutes * 60_000, retain_days * 86_400_000), CHANGES, "status string, since bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
