@@ -37,7 +37,7 @@ BLOCK = 1 << 19
 #: Ids that one task encodes, about.
 TASK_IDS = 4 << 20
 #: Pieces between blanks that a worker remembers.
-PIECES = 900_000
+PIECES = 250_000
 OWNER = "tokens"
 
 BLOCKS = (
