@@ -227,6 +227,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20, owner: str |
         before = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, stop - at)
+        # Arrow keeps freed memory otherwise, in each worker beside the others of its executor.
+        pa.default_memory_pool().release_unused()
         at = stop
 
 
