@@ -128,11 +128,11 @@ def template_as_of(rows: DataFrame, switches: DataFrame, time: str, effective: s
     return asof(rows, switches, [key], time, effective, ["template_version_id"])
 
 
-def parsing_state(events: DataFrame) -> DataFrame:
-    """Latest parsing status per version; completed ones carry time, path and hash."""
+def parsing_state(events: DataFrame, tie: str = "event_id") -> DataFrame:
+    """Latest parsing status per version, by time and then ``tie``; completed ones carry time, path and hash."""
     e = F.struct("status", "ts", "parsed_path", "content_hash")
     done = F.col("e.status") == "COMPLETED"
-    return events.groupBy("template_version_id").agg(F.max_by(e, "ts").alias("e")).select(
+    return events.groupBy("template_version_id").agg(F.max_by(e, F.struct("ts", tie)).alias("e")).select(
         "template_version_id",
         F.col("e.status").alias("parsing_status"),
         F.when(done, F.col("e.ts")).alias("parsed_at"),

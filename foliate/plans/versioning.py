@@ -112,6 +112,23 @@ def duplicate_numbers(spark, sf_dir):
     return N.duplicate_numbers(rows, "document_id", "version_number")
 
 
+@query("version_counts", ddl.with_(_PLACED) + "SELECT document_id, count(*) AS versions FROM placed WHERE NOT is_duplicate GROUP BY document_id")
+def version_counts(spark, sf_dir):
+    return N.version_counts(versions(spark, sf_dir))
+
+
+@query(
+    "existing_versions",
+    ddl.with_(_PLACED)
+    + """SELECT source AS document_id, 3 * doc_id AS version_number FROM documents d
+WHERE EXISTS (SELECT 1 FROM placed p WHERE NOT p.is_duplicate AND p.document_id = d.source AND p.version_number = 3 * d.doc_id)""",
+)
+def existing_versions(spark, sf_dir):
+    """Of three times each document's id as a version number, those that its source has."""
+    wanted = T.table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), (3 * F.col("doc_id")).alias("version_number"))
+    return N.existing_versions(wanted, versions(spark, sf_dir))
+
+
 @query(
     "latest_template_version",
     ddl.with_(ddl.VERSIONS) + "SELECT template_id, max(version_number) AS version_number, max(template_version_id) AS template_version_id FROM versions GROUP BY template_id",
@@ -140,15 +157,15 @@ def asof_template(spark, sf_dir):
 
 @query(
     "parsing_state",
-    """SELECT user_id AS template_version_id, arg_max(status, ts) AS parsing_status,
-  CASE WHEN arg_max(status, ts) = 'COMPLETED' THEN 'templates/' || user_id || '/parsed.json' END AS parsed_path
-FROM (SELECT user_id, ts, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END AS status FROM events) GROUP BY user_id""",
+    """SELECT user_id AS template_version_id, arg_max(status, {'t': ts, 'e': event_id}) AS parsing_status,
+  CASE WHEN arg_max(status, {'t': ts, 'e': event_id}) = 'COMPLETED' THEN 'templates/' || user_id || '/parsed.json' END AS parsed_path
+FROM (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'IN_PROGRESS' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END AS status FROM events) GROUP BY user_id""",
 )
 def parsing_state(spark, sf_dir):
     e = T.job_events(spark, sf_dir)
     status = F.when(F.col("status") == "RUNNING", "IN_PROGRESS").otherwise(F.col("status"))
     rows = e.select(
-        F.col("job_id").alias("template_version_id"), status.alias("status"), "ts",
+        F.col("job_id").alias("template_version_id"), "event_id", status.alias("status"), "ts",
         F.concat(F.lit("templates/"), F.col("job_id").cast("string"), F.lit("/parsed.json")).alias("parsed_path"),
         F.lit(None).cast("string").alias("content_hash"),
     )
