@@ -121,8 +121,8 @@ def counts(assembled: DataFrame, *key: str) -> DataFrame:
 def structure_errors(original: DataFrame, assembled: DataFrame, *key: str) -> DataFrame:
     """Differences in block number, ids, order and type, as (key, error_code, errors).
 
-    A different number of blocks is reported alone. Both sides are tagged and grouped by (key,
-    block id) and by (key, position), so one large document spreads over all tasks.
+    A different number of blocks is reported alone. Both sides are tagged; each row counts once under its block id and
+    once under its position in a single grouping, so each side is computed once and a large document spreads over all tasks.
     """
     key = list(key)
 
@@ -130,22 +130,23 @@ def structure_errors(original: DataFrame, assembled: DataFrame, *key: str) -> Da
         return df.select(*key, "block_id", "position", "block_type", F.lit(side).alias("_side"))
 
     both = tagged(original, 0).unionByName(tagged(assembled, 1))
-    by_id = both.groupBy(*key, "block_id").agg(
-        F.count_if(F.col("_side") == 0).alias("_a"), F.count_if(F.col("_side") == 1).alias("_b")
-    ).groupBy(*key).agg(
-        F.sum("_a").alias("_original"),
-        F.sum("_b").alias("_assembled"),
-        F.count_if(F.col("_b") == 0).alias("_missing"),
-        F.count_if(F.col("_a") == 0).alias("_extra"),
+    under = F.array(
+        F.struct(F.lit(True).alias("id"), F.col("block_id").alias("v")),
+        F.struct(F.lit(False).alias("id"), F.col("position").cast("string").alias("v")),
     )
     at = {side: F.max(F.when(F.col("_side") == side, F.struct("block_id", "block_type"))) for side in (0, 1)}
-    by_position = both.groupBy(*key, "position").agg(at[0].alias("_o"), at[1].alias("_n")).filter(
-        F.col("_o").isNotNull() & F.col("_n").isNotNull()
-    ).groupBy(*key).agg(
-        F.count_if(F.col("_o.block_id") != F.col("_n.block_id")).alias("_moved"),
-        F.count_if(F.col("_o.block_type") != F.col("_n.block_type")).alias("_retyped"),
+    places = both.withColumn("_u", F.explode(under)).groupBy(*key, "_u").agg(
+        F.count_if(F.col("_side") == 0).alias("_a"), F.count_if(F.col("_side") == 1).alias("_b"), at[0].alias("_o"), at[1].alias("_n")
+    )
+    by_id = F.col("_u.id")
+    joined = places.groupBy(*key).agg(
+        F.sum(F.when(by_id, F.col("_a"))).alias("_original"),
+        F.sum(F.when(by_id, F.col("_b"))).alias("_assembled"),
+        F.count_if(by_id & (F.col("_b") == 0)).alias("_missing"),
+        F.count_if(by_id & (F.col("_a") == 0)).alias("_extra"),
+        F.count_if(~by_id & (F.col("_o.block_id") != F.col("_n.block_id"))).alias("_moved"),
+        F.count_if(~by_id & (F.col("_o.block_type") != F.col("_n.block_type"))).alias("_retyped"),
     )
-    joined = by_id.join(by_position, key, "left").fillna(0, ["_moved", "_retyped"])
     differs = F.col("_original") != F.col("_assembled")
     found = F.when(differs, F.array(
         F.struct(F.lit("BLOCK_COUNT_MISMATCH").alias("error_code"), F.abs(F.col("_original") - F.col("_assembled")).alias("errors"))
