@@ -10,6 +10,8 @@ texts, dealt once by document id (one exchange, reused by all passes):
    content and group with its smallest and largest id. So a passage in a third of all documents costs
    one row per group of documents, not one per document. The bucket finds, for each window,
    the smallest id (``judge``: suffix arrays or suffix automata) and answers the groups.
+   A key of more than ``SPLIT`` distinct contents is split: its windows are contents of their own, dealt by the
+   hash of the whole window. Equal windows still meet, and a common phrase between different neighbours fills no bucket.
 3. *Removal.* Each group marks the hit windows in its own documents.
 
 Hashes choose candidates and name contents (64 bits); the judges compare windows exactly.
@@ -22,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from foliate.llm import arrays as A
 from foliate.llm.common import group_count, group_of
 
 GROUP_BYTES = 8 << 20
+#: Distinct contents (counted by group of documents) above which the windows of a key are dealt one by one.
+SPLIT = 4096
 
 
 class Bytes:
@@ -81,6 +86,40 @@ def _cut(order_key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], order_key[1:] != order_key[:-1]))) if len(order_key) else order_key[:0].astype(int)
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of seven bits, rounded up by at most a fifth."""
+    return np.ceil(4 * np.log2(counts)).astype(np.uint8)
+
+
+def _distinct(u, window: int, start: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distinct contents of each key, whose runs begin at ``at``; runs of keys with few are counted as they are."""
+    n = np.diff(np.append(at, len(start)))
+    many = np.flatnonzero(n > 4)
+    if len(many):
+        index = A.ranges(at[many], n[many])
+        order = np.argsort(start[index], kind="stable")
+        index, owner = index[order], np.repeat(many, n[many])[order]
+        content = A.range_hashes(u.values, start[index], start[index] + count[index] + window - 1)
+        order = np.lexsort((content, owner))
+        content, owner = content[order], owner[order]
+        new = np.concatenate(([True], (content[1:] != content[:-1]) | (owner[1:] != owner[:-1])))
+        n[many] = np.bincount(owner[new], minlength=len(n))[many]
+    return n
+
+
+def _single(start: np.ndarray, count: np.ndarray, split: np.ndarray):
+    """Runs, those to be split as one run per window, and the run that each comes from."""
+    n = np.where(split, count, 1)
+    index = np.repeat(np.arange(len(start)), n)
+    return start[index] + A.ranges(np.zeros(len(n), np.int64), n), np.where(split, 1, count)[index], index
+
+
+def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
 def smallest_seen(
     docs: DataFrame,
     units: type,
@@ -90,6 +129,7 @@ def smallest_seen(
     measures: Callable,
     schema: str,
     group_bytes: int = GROUP_BYTES,
+    split: int = SPLIT,
 ) -> DataFrame:
     """Rows of ``measures`` (named by ``schema``) per document of ``docs(doc_id, text)``."""
     parts = group_count(docs, group_bytes)
@@ -105,13 +145,15 @@ def smallest_seen(
 
     def send_keys(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        _, ids, (_, _, key, doc) = read(t)
+        u, ids, (start, count, key, doc) = read(t)
         who = ids[doc]
         order = np.lexsort((who, key))
         key, who = key[order], who[order]
         at = _cut(key)
         ends = np.append(at, len(key))[1:] - 1
-        key, several = key[at], who[at] != who[ends]
+        # One byte: whether several documents hold the key, and how many contents it has.
+        several = (who[at] != who[ends]).astype(np.uint8) | _levels(_distinct(u, window, start[order], count[order], at)) << np.uint8(1)
+        key = key[at]
         bucket = (key % A.U(parts)).astype(np.int64)
         order = np.lexsort((key, bucket))
         key, several, bucket = key[order], several[order], bucket[order]
@@ -123,7 +165,7 @@ def smallest_seen(
     def share_keys(t: pa.Table) -> pa.Table:
         seen, owner, several, names = [], [], [], t.column("part").to_pylist()
         for i, blob in enumerate(t.column("blob")):
-            id5, flag = A.unpack(blob.as_py(), np.uint8, np.bool_)
+            id5, flag = A.unpack(blob.as_py(), np.uint8, np.uint8)
             seen.append(_wide(id5))
             several.append(flag)
             owner.append(np.full(len(flag), i))
@@ -132,18 +174,24 @@ def smallest_seen(
         key, owner, several = key[order], owner[order], several[order]
         at = _cut(key)
         count = np.diff(np.append(at, len(key)))
-        hot = (count > 1) | np.logical_or.reduceat(several, at)
+        hot = (count > 1) | np.bitwise_or.reduceat(several & np.uint8(1), at).astype(bool) if len(at) else count > 1
+        contents_of = np.add.reduceat(np.exp2((several >> np.uint8(1)) / 4), at) if len(at) else count
         keep = np.repeat(hot, count)
-        key, owner = key[keep], owner[keep]
+        key, owner, large = key[keep], owner[keep], np.repeat(contents_of > split, count)[keep]
         bucket = t.column("bucket")[0].as_py()
         order = np.argsort(owner, kind="stable")
-        key, owner = key[order], owner[order]
+        key, owner, large = key[order], owner[order], large[order]
+        id5 = lambda k: np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5])
         out = []
         for a, b in _pieces(owner):
-            id5 = np.ascontiguousarray(key[a:b].view(np.uint8).reshape(-1, 8)[:, :5])
-            out.append((names[owner[a]], bucket, id5.tobytes()))
+            own, apart = key[a:b], large[a:b]
+            out.append((names[owner[a]], bucket, A.pack(id5(own[~apart]), id5(own[apart]))))
         return _table(out, ("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()))
 
+    def named(key: np.ndarray) -> np.ndarray:
+        """What tells keys apart, in one number: five bytes and the bucket."""
+        return A.mix(_wide(_id5(key).reshape(-1)) ^ A.mix(key % A.U(parts)))
+
     def contents(t: pa.Table):
         """Runs of this group and the hash of each run's content."""
         u, ids, (start, count, key, doc) = read(t)
@@ -156,18 +204,19 @@ def smallest_seen(
         part = t.column("part")[0].as_py()
         u, ids, start, count, key, doc = contents(t)
         bucket = (key % A.U(parts)).astype(np.int64)
-        wanted = np.concatenate(
-            [
-                A.mix(_wide(np.frombuffer(b.as_py(), np.uint8)) ^ A.mix(np.array([g.as_py()], A.U)))
-                for g, b in zip(shared.column("bucket"), shared.column("blob"))
-            ]
-        )
-        wanted.sort()
-        mine = A.mix(_wide(_id5(key).reshape(-1)) ^ A.mix(bucket.astype(A.U)))
-        at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-        keep = wanted[at] == mine
-        start, count, doc, bucket = start[keep], count[keep], doc[keep], bucket[keep]
+        found = [
+            [A.mix(_wide(x) ^ A.mix(np.array([g.as_py()], A.U))) for x in A.unpack(b.as_py(), np.uint8, np.uint8)]
+            for g, b in zip(shared.column("bucket"), shared.column("blob"))
+        ]
+        whole, apart = (np.sort(np.concatenate(x)) for x in zip(*found))
+        mine = named(key)
+        large = _among(mine, apart)
+        keep = large | _among(mine, whole)
+        start, count, doc, bucket, large = start[keep], count[keep], doc[keep], bucket[keep], large[keep]
+        start, count, index = _single(start, count, large)
+        doc, bucket, large = doc[index], bucket[index], large[index]
         content = A.range_hashes(u.values, start, start + count + window - 1)
+        bucket = np.where(large, (content % A.U(parts)).astype(np.int64), bucket)
         who = ids[doc]
         order = np.lexsort((who, content, bucket))
         bucket, content, who, start, count = (x[order] for x in (bucket, content, who, start, count))
@@ -176,7 +225,8 @@ def smallest_seen(
         low, high = who[at], who[ends]
         bucket, content, start, count = bucket[at], content[at], start[at], count[at]
         first, last = u.byte_range(start, start + count + window - 1) if len(start) else (start, start)
-        out = []
+        # The split keys of this group come back to it beside the answers: a negative number marks them.
+        out = [(part % parts, -1 - part, apart.tobytes())] if len(apart) else []
         press = zstandard.ZstdCompressor(level=1)
         for a, b in _pieces(bucket):
             size = last[a:b] - first[a:b]
@@ -186,6 +236,11 @@ def smallest_seen(
         return _table(out, *kinds)
 
     def answer(t: pa.Table) -> pa.Table:
+        split_keys = [(-1 - p, b"k" + b.as_py()) for p, b in zip(t.column("part").to_pylist(), t.column("blob")) if p < 0]
+        t = t.filter(pc.greater_equal(t.column("part"), 0))
+        kinds = (("part", pa.int32()), ("blob", pa.binary()))
+        if not t.num_rows:
+            return _table(split_keys, *kinds)
         names, parts_of, columns = t.column("part").to_pylist(), [], []
         for i, blob in enumerate(t.column("blob")):
             columns.append(A.unpack(zstandard.ZstdDecompressor().decompress(blob.as_py()), A.U, np.int64, np.int64, np.int32, np.int32, np.uint8))
@@ -214,20 +269,25 @@ def smallest_seen(
         index, entry = index[keep], entry[keep]
         order = np.argsort(owner[entry], kind="stable")
         index, entry = index[order], entry[order]
-        out = []
+        out = split_keys
         for a, b in _pieces(owner[entry]):
             i, e = index[a:b], entry[a:b]
             blob = A.pack(content[e], run_at[i].astype(np.int32), run_len[i].astype(np.int32), run_low[i])
-            out.append((names[owner[e[0]]], blob))
-        return _table(out, ("part", pa.int32()), ("blob", pa.binary()))
+            out.append((names[owner[e[0]]], b"h" + blob))
+        return _table(out, *kinds)
 
     def remove(t: pa.Table, hits: pa.Table) -> pa.Table:
         if not t.num_rows:
             return measures(None, t, None)
         u, ids, start, count, key, doc = contents(t)
         hit = np.zeros(len(u.values), bool)
-        if hits.num_rows and len(start):
-            columns = [A.unpack(b.as_py(), A.U, np.int32, np.int32, np.int64) for b in hits.column("blob")]
+        blobs = [b.as_py() for b in hits.column("blob")] if hits.num_rows else []
+        columns = [A.unpack(b[1:], A.U, np.int32, np.int32, np.int64) for b in blobs if b[:1] == b"h"]
+        if columns and len(start):
+            apart = [np.frombuffer(b[1:], A.U) for b in blobs if b[:1] == b"k"]
+            if apart:
+                start, count, index = _single(start, count, _among(named(key), np.sort(np.concatenate(apart))))
+                doc = doc[index]
             content, run_at, run_len, low = (np.concatenate(c) for c in zip(*columns))
             order = np.argsort(content, kind="stable")
             content, run_at, run_len, low = content[order], run_at[order], run_len[order], low[order]
