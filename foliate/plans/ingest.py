@@ -204,7 +204,7 @@ def stream_heartbeats(spark, sf_dir):
 @query("stream_dedupe", ddl.with_(_EVENTS) + "SELECT DISTINCT user_id AS job_id, k AS stage, status AS action FROM ev")
 def stream_dedupe(spark, sf_dir):
     e = _event_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("k").alias("stage"), F.col("status").alias("action"), "ts")
-    return S.run_available(S.once_per_key(e, ["job_id", "stage", "action"], "60 days"), "dedupe").drop("ts")
+    return S.run_available(S.once_per_key(e, ["job_id", "stage", "action"]), "dedupe").drop("ts")
 
 
 @query(

@@ -94,9 +94,11 @@ def heartbeat_sessions(beats: DataFrame, ttl_seconds: int = K.HEARTBEAT_TTL_SECO
     )
 
 
-def once_per_key(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """First event of every key; state is dropped once the watermark has passed."""
+def once_per_key(events: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
+    """First event of every key: all emitted keys stay as state. With ``delay`` a key is forgotten once the watermark has passed."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if delay is None:
+        return rows.dropDuplicates(keys)
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
