@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliate.llm import (
+    collocations,
     decontamination,
     language_id,
     mixing,
+    packing,
     secrets,
     simhash,
     spot_signatures,
@@ -16,6 +18,7 @@ from foliate.llm import (
     suffix_dedup,
     token_files,
     warc,
+    whitening,
 )
 from foliate.llm.common import table
 
@@ -67,6 +70,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids="ids_crc32 bigint")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +97,9 @@ QUERIES = {
         op8_warc,
         op9_secrets,
         op10_token_files,
+        op11_collocations,
+        op12_whitening,
+        op13_packing,
         page_languages,
     )
 }
@@ -90,4 +110,5 @@ ORACLES = {
     "op3_decontamination": sql.DECONTAMINATION,
     "op5_mixing": sql.MIXING,
     "op8_warc": sql.WARC,
+    "op11_collocations": sql.COLLOCATIONS,
 }

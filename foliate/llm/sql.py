@@ -82,3 +82,29 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f USING (h)
 """
+
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+total AS (SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(ws[i + 1 : i + m], ' ') AS phrase
+      FROM (SELECT *, unnest(range(0, len(ws) - m + 1)) AS i FROM (SELECT *, unnest(range(1, 6)) AS m FROM p) WHERE len(ws) >= m)),
+f AS (SELECT lang, phrase, any_value(m) AS m, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+sub AS (SELECT DISTINCT lang, a, array_to_string(ws[i + 1 : i + k], ' ') AS phrase
+        FROM (SELECT *, unnest(range(0, m - k + 1)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM c WHERE m > 2))),
+longer AS (SELECT lang, phrase, max(a) AS a FROM sub GROUP BY lang, phrase),
+cut AS (SELECT *, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 : m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (
+  SELECT cut.lang, cut.phrase, k, a, h.f AS l, r.f AS r, n, (1000 * a * n) // (h.f * r.f) AS score
+  FROM cut JOIN f AS h ON h.lang = cut.lang AND h.phrase = head JOIN f AS r ON r.lang = cut.lang AND r.phrase = rest JOIN total ON total.lang = cut.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT s.* FROM least s LEFT JOIN longer ON longer.lang = s.lang AND longer.phrase = s.phrase WHERE longer.a IS NULL OR 100 * longer.a < 100 * s.a),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept QUALIFY rank <= 2000),
+side AS (SELECT lang, array_to_string(ws[2 : m], ' ') AS lefts, array_to_string(ws[1 : m - 1], ' ') AS rights FROM c WHERE m > 2)
+SELECT best.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score,
+  (SELECT count(*) FROM side WHERE side.lang = best.lang AND lefts = phrase) AS left_words,
+  (SELECT count(*) FROM side WHERE side.lang = best.lang AND rights = phrase) AS right_words
+FROM best
+"""
