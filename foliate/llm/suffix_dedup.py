@@ -1,9 +1,9 @@
 """Substring removal over bytes with a logarithmic family of suffix arrays.
 
-Documents come in batches of ascending ids. A batch gets a suffix array; the array is merge-scanned against
-the levels built from earlier batches, which finds every window of ``length`` bytes that an earlier
-document holds; then the batch becomes a level itself, and levels of about equal size merge, so an entry
-is moved a logarithmic number of times. The family is split by the key of the windows (see ``repeats``),
+Documents come in batches of ascending ids. A batch gets a suffix array: its windows of ``length`` bytes in the order of all their bytes,
+found eight bytes at a time, where only ties go on. The array is merge-scanned against the levels built from earlier
+batches, which finds every window that an earlier document holds; then what is new in it becomes a level itself, and levels of about equal size
+merge by their places in each other, so nothing is sorted twice and an entry is moved a logarithmic number of times. The family is split by the key of the windows (see ``repeats``),
 so that each bucket holds its own small levels, and one bucket is one task.
 
 Defined results: null text: empty; a text shorter than ``length``: nothing removed; rows that share
@@ -27,89 +27,116 @@ INNER = 24
 
 
 class Level:
-    """Distinct windows in suffix order: sort keys, place of the first copy, its document."""
+    """Distinct windows in suffix order: their first eight bytes, the place of a copy, the smallest document."""
 
-    def __init__(self, keys, at, low):
-        self.keys, self.at, self.low = keys, at, low
+    def __init__(self, head, at, low):
+        self.head, self.at, self.low = head, at, low
 
     def __len__(self):
         return len(self.at)
 
+    def part(self, keep) -> "Level":
+        return Level(self.head[keep], self.at[keep], self.low[keep])
+
 
 class Family:
     """The levels of one bucket over one text buffer."""
 
-    def __init__(self, text: np.ndarray, length: int, exact: bool = False):
-        self.length, self.exact = length, exact
-        self.text = text
+    def __init__(self, text: np.ndarray, length: int):
         words = max(len(text) - 7, 0)
         # Eight bytes from every place, as one big-endian number: the order of suffixes.
         self.eight = np.ndarray((words,), ">u8", np.ascontiguousarray(text).data, 0, (1,)) if words else np.zeros(0, ">u8")
+        #: Where the words begin that, in this order, compare two windows; the last may overlap the one before.
+        self.steps = sorted({*range(0, length - 7, 8), length - 8})
         self.levels: list[Level] = []
 
-    def words(self, at):
-        steps = [*range(0, self.length - 7, 8)]
-        if steps[-1] != self.length - 8:
-            steps.append(self.length - 8)
-        return [self.eight[at + s].astype(np.uint64) for s in steps]
-
-    def keys(self, at):
-        """Most significant first. The short form orders by eight bytes, then by a fingerprint of the window."""
-        if self.exact:
-            return self.words(at)
-        return [self.eight[at].astype(np.uint64), A.range_hashes(self.text, at, at + self.length)]
-
-    def same(self, at, other) -> bool:
-        return all(np.array_equal(a, b) for a, b in zip(self.words(at), self.words(other)))
-
-    @staticmethod
-    def _sorted(keys):
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-        fresh = np.ones(len(order), bool)
-        if len(order):
-            fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        return order, keys, fresh
+    def word(self, at: np.ndarray, k: int) -> np.ndarray:
+        return self.eight[at + self.steps[k]].astype(np.uint64)
+
+    def sorted(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix order of windows, where a new one begins in it, and their first words; ties go on to the next word."""
+        head = self.word(at, 0)
+        order = np.argsort(head)
+        head = head[order]
+        fresh = np.ones(len(at), bool)
+        np.not_equal(head[1:], head[:-1], out=fresh[1:])
+        for k in range(1, len(self.steps)):
+            alone = fresh.copy()
+            alone[:-1] &= fresh[1:]
+            tied = np.flatnonzero(~alone)
+            if not len(tied):
+                break
+            word = self.word(at[order[tied]], k)
+            by_word = np.argsort(word)
+            rank = np.empty(len(word), np.int64)
+            rank[by_word] = np.cumsum(np.concatenate(([0], word[by_word[1:]] != word[by_word[:-1]])))
+            key = np.cumsum(fresh)[tied] * (int(rank.max()) + 1) + rank
+            by_key = np.argsort(key)
+            key = key[by_key]
+            order[tied] = order[tied[by_key]]
+            fresh[tied[1:]] |= key[1:] != key[:-1]
+        return order, fresh, head
+
+    def _compare(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 for each pair of windows with equal first words."""
+        out = np.zeros(len(one), np.int8)
+        left = np.arange(len(one))
+        for k in range(1, len(self.steps)):
+            a, b = self.word(one[left], k), self.word(other[left], k)
+            out[left] = (a > b).astype(np.int8) - (a < b)
+            left = left[a == b]
+            if not len(left):
+                break
+        return out
+
+    def places(self, level: Level, batch: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Where each entry of the batch stands in the order of the level, and whether the level holds it."""
+        low = np.searchsorted(level.head, batch.head)
+        high = np.searchsorted(level.head, batch.head, side="right")
+        held = np.zeros(len(batch), bool)
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            order = self._compare(level.at[middle], batch.at[open_])
+            held[open_[order == 0]] = True
+            low[open_] = np.where(order < 0, middle + 1, np.where(order == 0, middle, low[open_]))
+            high[open_] = np.where(order < 0, high[open_], middle)
+            open_ = open_[(order != 0) & (low[open_] < high[open_])]
+        return low, held
 
     def add(self, at: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Take a batch of windows (oldest first); the smallest document that holds each of them."""
         if not len(at):
             return low
-        order, keys, fresh = self._sorted(self.keys(at))
+        order, fresh, head = self.sorted(at)
         group = np.cumsum(fresh) - 1
-        head = order[fresh]
-        if not self.exact and not self.same(at[order], at[head][group]):
-            raise Collision
-        first = Level([k[fresh] for k in keys], at[head], low[head].copy())
-        known = np.zeros(len(first), bool)
+        begin = np.flatnonzero(fresh)
+        batch = Level(head[begin], at[order[begin]], np.minimum.reduceat(low[order], begin))
+        known = np.zeros(len(batch), bool)
         for level in self.levels:
-            hit, where = self._scan(level, first)
-            first.low[hit] = np.minimum(first.low[hit], level.low[where])
-            known[hit] = True
+            place, held = self.places(level, batch)
+            batch.low[held] = np.minimum(batch.low[held], level.low[place[held]])
+            known |= held
         out = np.empty(len(at), np.int64)
-        out[order] = first.low[group]
-        self._insert(Level([k[~known] for k in first.keys], first.at[~known], first.low[~known]))
+        out[order] = batch.low[group]
+        self._insert(batch.part(~known))
         return out
 
-    def _scan(self, level: Level, batch: Level):
-        """Entries of the batch that the level holds too, and where: one walk over both arrays in order."""
-        order, _, fresh = self._sorted([np.concatenate(k) for k in zip(level.keys, batch.keys)])
-        pair = np.flatnonzero(~fresh)
-        where, hit = order[pair - 1], order[pair] - len(level)
-        if not self.exact and not self.same(level.at[where], batch.at[hit]):
-            raise Collision
-        return hit, where
-
     def _insert(self, level: Level) -> None:
+        """Levels of about equal size become one: a merge by places, no sort."""
         self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            order, keys, _ = self._sorted([np.concatenate(k) for k in zip(a.keys, b.keys)])
-            self.levels.append(Level(keys, np.concatenate((a.at, b.at))[order], np.concatenate((a.low, b.low))[order]))
+            to = self.places(a, b)[0] + np.arange(len(b))
+            rest = np.ones(len(a) + len(b), bool)
+            rest[to] = False
 
+            def merged(x, y):
+                out = np.empty(len(rest), x.dtype)
+                out[rest], out[to] = x, y
+                return out
 
-class Collision(Exception):
-    """Two different windows share both short keys: the bucket is ordered by all bytes instead."""
+            self.levels.append(Level(merged(a.head, b.head), merged(a.at, b.at), merged(a.low, b.low)))
 
 
 def judge_with(length: int):
@@ -118,14 +145,8 @@ def judge_with(length: int):
         window = A.ranges(np.zeros(len(first), np.int64), count)
         at = first[content] + window
         cuts = np.searchsorted(batch[content], np.arange(batch.max() + 2 if len(batch) else 1))
-        for exact in (False, True):
-            family, found = Family(text, length, exact), []
-            try:
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    found.append(family.add(at[a:b], lows[content[a:b]]))
-                break
-            except Collision:
-                continue
+        family = Family(text, length)
+        found = [family.add(at[a:b], lows[content[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
         low = np.concatenate(found) if found else np.zeros(0, np.int64)
         return R.runs_of(content, window, low)
 
