@@ -42,8 +42,8 @@ LENGTH, END = 1024, 2
 ROUNDS, GROWING, NEAR, STEP, RATE = 300, 256, 0.02, 0.1, 4.0
 #: Shares of the fractions that are rounded; the rest is filled. The share with the fewest sequences counts.
 SHARES = (1.0, 0.75, 0.5, 0.25)
-#: Pieces of text that a worker remembers.
-PIECES = 200_000
+#: Bytes of text that are encoded at once, and pieces that a worker remembers between them.
+SLICE, PIECES = 8 << 20, 250_000
 OWNER = "packing"
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part bigint, rank bigint"
@@ -104,23 +104,32 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         odd = []
-        known, plain, mark = self.known, _PLAIN.fullmatch, {m: self._word(m) for m in (".", ",", "")}
+        known, plain, code, of = self.known, _PLAIN.fullmatch, self.codes, self.tokenize
+        mark = {m: self._word(m) for m in (".", ",", "")}
+        line, blank = self._word("\n"), self.alphabet[32]
         for piece in pieces:
-            blank = piece[:1] == b" "
-            lines = piece[blank:].decode().split("\n")
-            found = [plain(line) for line in lines]
-            if not all(found):
+            begins = piece[:1] == b" "
+            body = piece[1:] if begins else piece
+            if body.isalpha():
+                # ASCII letters stand for themselves
+                word = body.decode()
+                if piece not in known:
+                    known[piece] = b"".join([code[t.id] for t in of(blank + word if begins else word)])
+                continue
+            found = [plain(x) for x in body.decode().split("\n")]
+            if None in found:
                 odd.append(piece)
                 continue
             ids = []
-            for i, m in enumerate(found):
-                word = " " * (blank and not i) + m[1]
-                key = word.encode()
+            for m in found:
+                word = m[1]
+                key = (" " + word if begins else word).encode()
                 own = known.get(key)
                 if own is None:
-                    own = known[key] = self._word(word)
+                    own = known[key] = self._word(key.decode())
                 ids.append(own + mark[m[2]])
-            known[piece] = self._word("\n").join(ids)
+                begins = False
+            known[piece] = line.join(ids)
         known.update(zip(odd, self._encode([p.decode() for p in odd])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -187,7 +196,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
         last = np.array([end], encoder.kind).tobytes()
         seen = np.zeros(length + 1, np.int64)
         for batch in batches:
-            for part in A.slices(batch, "text", owner=OWNER):
+            for part in A.slices(batch, "text", SLICE, OWNER):
                 own = [x + last for x in encoder.encode([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])]
                 n = np.fromiter(map(len, own), np.int64, len(own)) // len(last)
                 cuts = -(-n // length)
