@@ -160,13 +160,16 @@ class Evidence:
 
     def fused(self, rows: DataFrame, scores: str, host: Column, suffix: Column, declared: Column, out: str) -> DataFrame:
         """The rows with the log posterior (up to a constant) of each class; null without letters."""
-        mine = rows.withColumns({"_lid_h": host, "_lid_s": suffix, "_lid_d": declared})
-        mine = mine.join(self.hosts, F.col("_lid_h").eqNullSafe(F.col("_lid_host")) & F.col("_lid_s").eqNullSafe(F.col("_lid_suffix")), "left")
-        mine = mine.join(self.declared, F.col("_lid_d") == F.col("_lid_declared"), "left")
+        name = {c: free_name(rows, f"_lid_{c}") for c in ("h", "s", "d", "host", "suffix", "prior", "declared", "like")}
+        col = {c: F.col(n) for c, n in name.items()}
+        hosts, given = ([F.col(f"_lid_{c}").alias(name[c]) for c in own] for own in (("host", "suffix", "prior"), ("declared", "like")))
+        mine = rows.withColumns({name["h"]: host, name["s"]: suffix, name["d"]: declared})
+        mine = mine.join(self.hosts.select(*hosts), col["h"].eqNullSafe(col["host"]) & col["s"].eqNullSafe(col["suffix"]), "left")
+        mine = mine.join(self.declared.select(*given), col["d"] == col["declared"], "left")
         total = F.col(scores)
-        for other in ("_lid_prior", "_lid_like"):
-            total = F.when(F.col(other).isNull(), total).otherwise(F.zip_with(total, F.col(other), lambda a, b: a + b))
-        return mine.withColumn(out, total).drop("_lid_h", "_lid_s", "_lid_d", "_lid_host", "_lid_suffix", "_lid_prior", "_lid_declared", "_lid_like")
+        for other in (col["prior"], col["like"]):
+            total = F.when(other.isNull(), total).otherwise(F.zip_with(total, other, lambda a, b: a + b))
+        return mine.withColumn(out, total).drop(*name.values())
 
 
 def identified(

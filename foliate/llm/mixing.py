@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliate.llm.common import stored
+from foliate.llm.common import free_name, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -127,17 +127,20 @@ def mixture(docs: DataFrame) -> DataFrame:
     Columns are those of ``docs``; a cut text has one space between words, and ``n_chars``, where there is such a column, is its new length.
     """
     sized = stored(docs.select("source", size_of().alias("size"), hash_of().alias("h")), "sizes")
-    limits = stored(thresholds(sized), "thresholds").select([F.col(c).alias(f"_mix_{c}") for c in ("source_", "base", "threshold", "rest", "tied")])
-    rows = docs.withColumn("_mix_h", hash_of()).join(limits, docs["source"].eqNullSafe(F.col("_mix_source_")))
-    part = F.floor(F.col("_mix_rest") / F.greatest("_mix_tied", F.lit(1))).cast("int")
-    below = F.when(F.col("_mix_h") < F.col("_mix_threshold"), 1).otherwise(0)
-    cut = F.when((F.col("_mix_h") == F.col("_mix_threshold")) & (part > 0), part)
+    columns = ("source_", "base", "threshold", "rest", "tied", "h", "words")
+    name = {c: free_name(docs, f"_mix_{c}") for c in columns}
+    col = {c: F.col(n) for c, n in name.items()}
+    limits = stored(thresholds(sized), "thresholds").select([F.col(c).alias(name[c]) for c in columns[:5]])
+    rows = docs.withColumn(name["h"], hash_of()).join(limits, docs["source"].eqNullSafe(col["source_"]))
+    part = F.floor(col["rest"] / F.greatest(col["tied"], F.lit(1))).cast("int")
+    below = F.when(col["h"] < col["threshold"], 1).otherwise(0)
+    cut = F.when((col["h"] == col["threshold"]) & (part > 0), part)
     # One entry per row to emit: null for the whole text, else the number of its words.
-    times = F.array_repeat(F.lit(None).cast("int"), (F.col("_mix_base") + below).cast("int"))
+    times = F.array_repeat(F.lit(None).cast("int"), (col["base"] + below).cast("int"))
     times = F.when(cut.isNull(), times).otherwise(F.concat(times, F.array(cut)))
-    rows = rows.withColumn("_mix_words", F.explode(times))
-    shorter = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("_mix_words")), " ")
-    out = rows.withColumn("text", F.when(F.col("_mix_words").isNull(), F.col("text")).otherwise(shorter))
+    rows = rows.withColumn(name["words"], F.explode(times))
+    shorter = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), col["words"]), " ")
+    out = rows.withColumn("text", F.when(col["words"].isNull(), F.col("text")).otherwise(shorter))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_mix_words").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(col["words"].isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

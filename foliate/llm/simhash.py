@@ -214,10 +214,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest doc_id, with all its columns."""
-    name = free_name(docs, "_f")
+    name, least, own = (free_name(docs, x) for x in ("_f", "_least", "_print"))
     marked = with_fingerprint(docs, name)
     prints = stored(with_fingerprint(docs.select("doc_id", "text"), "f").select("doc_id", "f"), "prints")
-    keep = grouped(prints).filter("f = holder").select(F.col("first_id").alias("_id"), F.col("f").alias("_print"))
-    match = F.col(name) == F.col("_print")
-    kept = marked.join(keep, match & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = grouped(prints).filter("f = holder").select(F.col("first_id").alias(least), F.col("f").alias(own))
+    match = F.col(name) == F.col(own)
+    kept = marked.join(keep, match & F.col("doc_id").eqNullSafe(F.col(least)), "left_semi")
     return kept.dropDuplicates(["doc_id", name]).select(*[F.col(f"`{c}`") for c in docs.columns])
