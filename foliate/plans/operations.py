@@ -308,7 +308,7 @@ def audit_search(spark, sf_dir):
     day = lambda d: F.lit(d).cast("timestamp_ntz")
     rows = U.search(
         T.audit_logs(spark, sf_dir), "DOCUMENT", action="SECTION_GENERATION_COMPLETED",
-        since=day("2024-01-05 00:00:00"), until=day("2024-01-20 00:00:00"), skip=10,
+        since=day("2024-01-05 00:00:00"), until=day("2024-01-20 00:00:00"), skip=10, limit=100,
     )
     return rows.select("id", "entity_id", "action", "timestamp")
 
