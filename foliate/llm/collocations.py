@@ -8,11 +8,10 @@ rank structure. A phrase is a pair of intervals; extending it by a word on eithe
 the other by the count of smaller symbols. Suffixes are sorted by their first ``k`` words only, which is all that phrases of
 up to ``k`` words can tell apart.
 
-*Levels.* For k = 2, 3, ... every shard enumerates its phrases of k words and sends (hash, count). Hashes that reach
-``least`` over all shards go back to the shards that hold them; these name the phrases (exact counts are then summed by
-the phrase itself, so a collision of hashes costs work but changes nothing) and keep only the stretches in which
-every k words may still be frequent. The next level works on what is left. So rows fall from level to level, a
-phrase sends one row per shard and not per occurrence, and nothing is broadcast or collected.
+*Levels.* For k = 2, 3, ... every shard enumerates its phrases of k words and sends (hash, count); a phrase goes by two independent
+hashes, 96 bits. Those whose counts sum to ``least`` over all shards go back to the shards that hold them; one of these
+names the phrase, and all keep only the stretches in which every k words are frequent. The next level works on what is left. So rows
+fall from level to level, a phrase sends one row per shard and not per occurrence, and nothing is broadcast or collected.
 
 Defined results: null or empty texts have no words; a null language is ``und``; repeated rows count each time; ties in a
 ranking are settled by count and phrase, so ranks are unique; columns other than text and lang are ignored; an empty table gives an
@@ -35,7 +34,7 @@ from foliate.llm import arrays as A
 from foliate.llm.common import shared_dir
 
 #: Bytes of text in a shard, about.
-SHARD = 8 << 20
+SHARD = 6 << 20
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Candidates that one task ranks before the last ranking.
 RANKED = 1 << 18
@@ -174,15 +173,18 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", size: int =
     return docs.select(named, F.col(text).cast("string").alias("text")).mapInArrow(run, SHARDS)
 
 
-def _hashes(lang: str, names: pa.Array, found: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each phrase and its language, the same in every shard."""
+def _hashes(lang: str, names: pa.Array, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes, of 64 and of 32 bits, of each phrase and its language, the same in every shard."""
     data, offsets = A.buffer_of(names)
-    word = A.range_hashes(data, offsets[:-1], offsets[1:])
     own = np.frombuffer(lang.encode(), np.uint8)
-    h = np.full(len(found), A.range_hashes(own, np.array([0]), np.array([len(own)]))[0], A.U)
-    for k in range(found.shape[1]):
-        h = A.mix(h * A.STEP + word[found[:, k] - 1])
-    return h.view(np.int64)
+    out = []
+    for mask in (0x00, 0xA5):
+        word = A.range_hashes(data ^ np.uint8(mask), offsets[:-1], offsets[1:])
+        h = np.full(len(found), A.range_hashes(own ^ np.uint8(mask), np.array([0]), np.array([len(own)]))[0], A.U)
+        for k in range(found.shape[1]):
+            h = A.mix(h * A.STEP + word[found[:, k] - 1])
+        out.append(h)
+    return out[0].view(np.int64), (out[1] >> A.U(32)).astype(np.uint32).view(np.int32)
 
 
 def _level(row: dict, k: int):
@@ -190,19 +192,33 @@ def _level(row: dict, k: int):
     ids = np.frombuffer(row["ids"], "<u4")
     names = pa.array(row["words"], pa.large_string())
     found, count = Index(ids, k).phrases(k)
-    return ids, names, found, count, _hashes(row["lang"], names, found)
+    return ids, names, found, count, *_hashes(row["lang"], names, found)
 
 
 def enumerated(table: DataFrame, k: int) -> DataFrame:
-    """(shard, h, n): phrases of ``k`` words in each shard by hash, with their counts."""
+    """(shard, h, g, n): phrases of ``k`` words in each shard by their hashes, with their counts."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, _, count, h = _level(row, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row["shard"])), pa.array(h), pa.array(count)], ["shard", "h", "n"])
+                _, _, _, count, h, g = _level(row, k)
+                columns = [pa.array(np.full(len(h), row["shard"])), pa.array(h), pa.array(g), pa.array(count)]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "h", "g", "n"])
 
-    return table.select("shard", "lang", "ids", "words").mapInArrow(run, "shard bigint, h bigint, n bigint")
+    return table.select("shard", "lang", "ids", "words").mapInArrow(run, "shard bigint, h bigint, g int, n bigint")
+
+
+def _places(h: np.ndarray, g: np.ndarray, marks: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Where each phrase stands among the marks (-1: nowhere), and the marks in order."""
+    marks = marks.sort_by([("h", "ascending"), ("g", "ascending")])
+    mh, mg = marks.column("h").to_numpy(), marks.column("g").to_numpy()
+    at = np.full(len(h), -1)
+    first, last = np.searchsorted(mh, h), np.searchsorted(mh, h, side="right")
+    for step in range(int((last - first).max(initial=0))):
+        here = np.flatnonzero(first + step < last)
+        here = here[mg[first[here] + step] == g[here]]
+        at[here] = first[here] + step
+    return at, marks
 
 
 def _stretches(ids: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
@@ -221,9 +237,10 @@ def _resolved(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {name: [] for name in ("kind", "shard", "lang", "ids", "words", "phrase", "n")}
         for row in left.to_pylist():
-            ids, names, found, count, h = _level(row, k)
-            keep = np.isin(h, right.column("h").to_numpy())
-            found, count, words = found[keep], count[keep], row["words"]
+            ids, names, found, _, h, g = _level(row, k)
+            at, marks = _places(h, g, right)
+            found, at, words = found[at >= 0], at[at >= 0], row["words"]
+            total, own = marks.column("total").to_numpy()[at], marks.column("own").to_numpy()[at]
             rest, used = _left(ids, found, k), []
             if len(rest):
                 used = np.unique(rest[rest > 0])
@@ -235,13 +252,13 @@ def _resolved(k: int):
                 out["n"].append(0)
                 out["ids"].append(rest.astype("<u4").tobytes())
                 out["words"].append([words[i - 1] for i in used.tolist()])
-            m = len(found)
-            text = [names.take(pa.array(found[:, j] - 1)) for j in range(k)]
-            out["kind"] += [1] * m
+            named = found[own]
+            text = [names.take(pa.array(named[:, j] - 1)) for j in range(k)]
+            out["kind"] += [1] * len(named)
             out["phrase"] += pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string())).to_pylist()
-            out["n"] += count.tolist()
-            out["ids"] += [None] * m
-            out["words"] += [None] * m
+            out["n"] += total[own].tolist()
+            out["ids"] += [None] * len(named)
+            out["words"] += [None] * len(named)
             n = len(out["kind"]) - len(out["shard"])
             out["shard"] += [row["shard"]] * n
             out["lang"] += [row["lang"]] * n
@@ -280,21 +297,19 @@ def phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, text: str =
     table = spark.read.schema(SHARDS).parquet(kept(shards(docs, text, lang, size)))
     single = table.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     totals = table.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
-    exact = [single]
+    exact = []
     for k in range(2, depth + 1):
-        whole = F.sum("n").over(W.partitionBy("h"))
-        marks = enumerated(table, k).select("shard", "h", whole.alias("all")).filter(F.col("all") >= least).select("shard", "h")
+        same = W.partitionBy("h", "g")
+        # the first shard that holds a phrase names it
+        summed = enumerated(table, k).select("shard", "h", "g", F.sum("n").over(same).alias("total"), (F.min("shard").over(same) == F.col("shard")).alias("own"))
+        marks = summed.filter(F.col("total") >= least)
         levels = table.select("shard", "lang", "ids", "words").groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_resolved(k), MARKED)
         found = spark.read.schema(MARKED).parquet(kept(levels, "kind"))
         table = found.filter("kind = 0").select("shard", "lang", "ids", "words")
-        exact.append(found.filter("kind = 1").select("lang", "phrase", "n"))
-    counted = [
-        df.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("size", F.lit(k))
-        for k, df in enumerate(exact, 1)
-    ]
-    out = counted[0]
-    for df in counted[1:]:
-        out = out.unionByName(df)
+        exact.append(found.filter("kind = 1").select("lang", "phrase", F.col("n").alias("f")))
+    out = single.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("size", F.lit(1))
+    for k, df in enumerate(exact, 2):
+        out = out.unionByName(df.withColumn("size", F.lit(k)))
     path = shared_dir(spark, "collocations")
     out.write.parquet(path)
     return totals, spark.read.schema(out.schema).parquet(path)
