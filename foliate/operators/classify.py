@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
-from foliate.functions.text import confidence_level, first_of, has_more_tokens, holds_any, matches, once, strip
+from foliate.functions.text import confidence_level, first_of, has_more_tokens, holds_any, java, matches, once, strip
 
 MODEL_SCHEMA = "classification string, confidence string, reasoning string"
 
@@ -32,6 +32,29 @@ def rule_number(text: Column, lower: str, threshold: float = 0.0) -> Column:
     return first_of(tests)
 
 
+def _alternative(rule: Column, text: Column) -> Column:
+    """What the pattern of the rule that stands found, trimmed; that one pattern only, and only if the column is asked for."""
+    found = [(rule == i, strip(F.regexp_extract(text, java(r[3]), 0))) for i, r in enumerate(K.RULES)]
+    return first_of(found)
+
+
+def isolated(classified: DataFrame, error: Column) -> DataFrame:
+    """Classified blocks where a block whose ``error`` is not NULL falls back, with a message, instead of failing the batch."""
+    failed = error.isNotNull()
+    fallback = {
+        "section_type": K.STATIC, "confidence": K.FALLBACK_CONFIDENCE, "confidence_level": K.LOW, "method": K.FALLBACK, "justification": K.FALLBACK_REASON,
+    }
+    out = {name: F.when(failed, F.lit(value)).otherwise(F.col(name)) for name, value in fallback.items()}
+    out |= {name: F.when(~failed, F.col(name)) for name in ("rule_number", "text_sample", "pattern", "matched_text") if name in classified.columns}
+    out["error"] = F.when(failed, F.concat(F.lit("Failed to classify block "), F.coalesce("block_id", F.lit("unknown")), F.lit(": "), error))
+    return classified.withColumns(out)
+
+
+def block_fault(block_type: Column, text: Column) -> Column:
+    """Why a block cannot be classified: it has no type, or its text is not text. NULL for a sound one."""
+    return first_of([(block_type.isNull(), "block has no type"), (~F.is_valid_utf8(text), "text is not valid UTF-8")])
+
+
 _INDICATORS = (K.HEADER_FOOTER_RULE, K.TOP_HEADING_RULE, K.SHORT_RULE, K.CAPS_RULE, K.NARRATIVE_RULE)
 _NO_RULE = len(K.RULES) + len(_INDICATORS)
 
@@ -113,6 +136,8 @@ def classify(
         "justification",
         F.when(rule != _NO_RULE, rule + 1).alias("rule_number"),
         F.when(rule < len(K.RULES), F.substring(text, 1, 100)).alias("text_sample"),
+        _choose(rule, [r[3] for r in K.RULES], "string").alias("pattern"),
+        _alternative(rule, text).alias("matched_text"),
     )
 
 
@@ -225,5 +250,7 @@ def stored_statistics(section_rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def sections_of(section_rows: DataFrame, template_version_id) -> DataFrame:
-    return section_rows.filter(F.col("template_version_id") == template_version_id).orderBy("section_id")
+def sections_of(section_rows: DataFrame, versions: DataFrame) -> DataFrame:
+    """Sections of the versions in a table of keys; ``section_no`` orders those of a version."""
+    own = section_rows.join(versions.select("template_version_id").distinct(), "template_version_id", "left_semi")
+    return own.withColumn("section_no", F.col("section_id"))

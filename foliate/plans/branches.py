@@ -125,7 +125,8 @@ def boilerplate_rules(spark, sf_dir):
   CASE WHEN m < 15 THEN 'rule_based' ELSE 'fallback' END AS method,
   CASE m WHEN 0 THEN {_PLAIN} || ' Confidential' WHEN 1 THEN {_PLAIN} || ' prepared by us' WHEN 2 THEN 'Page 12 of it' WHEN 3 THEN {_PLAIN} || ' tel: 123'
     WHEN 4 THEN 'Agenda:' WHEN 5 THEN 'Introduction' WHEN 6 THEN {_PLAIN} || ' {{name}}' WHEN 7 THEN {_PLAIN} || ' to be completed'
-    WHEN 8 THEN {_PLAIN} || ' company name' WHEN 9 THEN {_PLAIN} || ' we recommend it' END AS text_sample
+    WHEN 8 THEN {_PLAIN} || ' company name' WHEN 9 THEN {_PLAIN} || ' we recommend it' END AS text_sample,
+  ['Confidential', 'prepared by', 'Page 12', 'tel:', 'Agenda:', 'Introduction', '{{name}}', 'to be completed', 'company name', 'we recommend'][m + 1] AS matched_text
 FROM (SELECT *, doc_id % 16 AS m FROM documents)""",
 )
 def rules_fired(spark, sf_dir):
@@ -140,5 +141,5 @@ def rules_fired(spark, sf_dir):
     kinds = F.when(F.col("_m") == 10, "header").when(F.col("_m") == 11, "heading").otherwise("paragraph")
     blocks = rows.select("doc_id", kinds.alias("block_type"), F.when(F.col("_m") == 11, 1).alias("level"), "text")
     return C.classify(blocks, K.TOP_HEADING_RULE[1]).select(
-        "doc_id", F.col("rule_number").cast("bigint").alias("rule_number"), "section_type", "confidence", "method", "text_sample"
+        "doc_id", F.col("rule_number").cast("bigint").alias("rule_number"), "section_type", "confidence", "method", "text_sample", "matched_text"
     )

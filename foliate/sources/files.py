@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliate.functions import constants as K
 from foliate.functions.text import first_of
@@ -71,50 +72,102 @@ def _inspect(content: bytes) -> str | None:
     return None
 
 
-def quality_gate(files: DataFrame) -> DataFrame:
+@F.pandas_udf(StringType())
+def _structure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(lambda c: None if c is None else _inspect(c))
+
+
+def _by_size(size: Column, limit: int) -> Column:
+    return first_of([(size == 0, "empty_file"), (size > limit, "file_too_large")])
+
+
+def quality_gate(files: DataFrame, limit: int = K.MAX_FILE_BYTES) -> DataFrame:
     """``error_type`` per file: empty, too large, no archive, missing parts, unreadable; NULL when fine.
 
-    Size and emptiness are decided on columns; only files that pass reach the archive check.
+    For files that are rows already. Size and emptiness are decided on columns; only files that pass reach the archive check.
     """
     size = F.coalesce(F.octet_length("content"), F.lit(0))
-
-    @F.pandas_udf("string")
-    def inspect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda c: None if c is None else _inspect(c))
-
-    early = first_of([(size == 0, "empty_file"), (size > K.MAX_FILE_BYTES, "file_too_large")])
+    early = _by_size(size, limit)
     rows = files.withColumns({"file_size": size, "_early": early})
-    rows = rows.withColumn("_fault", inspect(F.when(F.col("_early").isNull(), F.col("content"))))
+    rows = rows.withColumn("_fault", _structure(F.when(F.col("_early").isNull(), F.col("content"))))
     return rows.withColumn("error_type", F.coalesce("_early", "_fault")).drop("_early", "_fault")
 
 
+def _plain(path: Column) -> Column:
+    """A path as the scan writes it: one slash behind the scheme, nothing encoded."""
+    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def empty_files(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
+    """Files without a byte. Scans pass over them, so they are those that the file index lists and a scan does not show.
+
+    The index holds the names of all files on the driver, as it does for every scan.
+    """
+    rows = scan(spark, path, pattern)
+    listed = spark.createDataFrame([(name,) for name in rows.inputFiles()], "value string")
+    listed = listed.select(_plain(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))).alias("path"))
+    return listed.join(rows.select(_plain(F.col("path")).alias("path")), "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("length"))
+
+
+def gated_scan(spark: SparkSession, path: str, pattern: str = "*.docx", limit: int = K.MAX_FILE_BYTES) -> DataFrame:
+    """The same for files in storage: ``(path, length, error_type)``.
+
+    Sizes come from the listing, so a file that is empty or too large is never opened; the limits on ``length`` reach the
+    reader of the other pass as pushed filters. Files whose size passes are read one by one and inspected.
+    """
+    size = F.col("length")
+    early = scan(spark, path, pattern).filter(size > limit).select("path", "length").unionByName(empty_files(spark, path, pattern))
+    early = early.withColumn("error_type", _by_size(size, limit))
+    fitting = scan(spark, path, pattern).filter((size > 0) & (size <= limit))
+    return early.unionByName(fitting.select("path", "length", _structure("content").alias("error_type")))
+
+
+def accepted_files(spark: SparkSession, path: str, gate: DataFrame, pattern: str = "*.docx", limit: int = K.MAX_FILE_BYTES) -> DataFrame:
+    """Contents of the files that a stored gate let pass."""
+    size = F.col("length")
+    good = gate.filter("error_type IS NULL").select("path")
+    return scan(spark, path, pattern).filter((size > 0) & (size <= limit)).join(good, "path", "left_semi")
+
+
 # --- artefacts --------------------------------------------------------------------------------
-def write_parsed(blocks: DataFrame, path: str) -> None:
-    """Parsed blocks by template; one folder per template, versions inside as rows."""
-    blocks.write.mode("append").partitionBy("template_id").parquet(path)
+def write_batch(rows: DataFrame, path: str, batch: int, form: str = "parquet") -> None:
+    """Rows of one batch of work. A batch owns its folder ``batch=n``: written again, it replaces what it wrote before
+    and touches no other batch, so a repeated or resumed job leaves no row twice."""
+    out = rows.withColumn("batch", F.lit(batch))
+    out.write.format(form).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").save(path)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
+    """All rows with their batch, read with the caller's schema; what does not fit it stays in ``_corrupt``."""
+    if form == "json":
+        reader = spark.read.schema(f"{schema}, batch int, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+        return reader.json(path)
+    return spark.read.schema(f"{schema}, batch int").format(form).load(path).withColumn("_corrupt", F.lit(None).cast("string"))
 
 
-def read_parsed(spark: SparkSession, path: str, schema, versions: DataFrame) -> DataFrame:
-    """Parsed blocks of the given versions; versions without any come with NULLs."""
-    return versions.join(spark.read.schema(schema).parquet(path), ["template_id", "template_version_id"], "left")
+def latest(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of each key (a version, a document) from the last batch that wrote it; broken rows have no key and go."""
+    fine = rows.filter("_corrupt IS NULL").drop("_corrupt")
+    last = fine.groupBy(*key).agg(F.max("batch").alias("batch"))
+    return fine.join(last, [*key, "batch"], "left_semi")
 
 
-def write_parsed_json(blocks: DataFrame, path: str) -> None:
-    blocks.write.mode("append").partitionBy("template_id").json(path)
+def broken(rows: DataFrame) -> DataFrame:
+    return rows.filter("_corrupt IS NOT NULL").select("batch", F.col("_corrupt").alias("line"))
 
 
-def read_parsed_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+def parsed_of(versions: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Parsed blocks of the given versions; a version without any comes once, with NULLs."""
+    return versions.join(parsed, ["template_id", "template_version_id"], "left")
 
 
-def write_outputs(renditions: DataFrame, path: str, buckets: int = 256) -> None:
-    """Rendered texts with their key. Folders are hash buckets: a folder per document would not scale."""
-    rows = renditions.withColumns({
+def output_rows(renditions: DataFrame, buckets: int = 256) -> DataFrame:
+    """Rendered texts with their key. Folders below a batch are hash buckets: a folder per document would not scale."""
+    return renditions.withColumns({
         "output_path": output_key(F.col("document_id"), F.col("version_number")),
         "bucket": F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"),
     })
-    rows.write.mode("append").partitionBy("bucket").parquet(path)
 
 
 # --- logs -------------------------------------------------------------------------------------

@@ -197,16 +197,46 @@ def test_scan_and_artefacts(spark, tmp_path):
     rows = files.scan(spark, str(tmp_path))
     ids = rows.select(*[c.alias(n) for n, c in files.key_ids(F.col("path")).items()]).first()
     assert (ids["kind"], ids["owner_id"], ids["version_number"]) == ("templates", "t1", 2)
-    b = spark.createDataFrame([("t1", "v1", "b1")], "template_id string, template_version_id string, block_id string")
-    files.write_parsed(b, str(tmp_path / "parsed"))
-    files.write_parsed_json(b, str(tmp_path / "json"))
-    versions = spark.createDataFrame([("t1", "v1"), ("t1", "v2")], "template_id string, template_version_id string")
-    got = files.read_parsed(spark, str(tmp_path / "parsed"), b.schema, versions).orderBy("template_version_id").collect()
-    assert [r["block_id"] for r in got] == ["b1", None]
-    assert files.read_parsed_json(spark, str(tmp_path / "json"), b.schema).first()["block_id"] == "b1"
-    out = spark.createDataFrame([("d1", 1, "text")], "document_id string, version_number int, rendition string")
-    files.write_outputs(out, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).first()["output_path"] == "documents/d1/1/output.docx"
+    (folder.parent / "3 +%").mkdir()
+    (folder.parent / "3 +%" / "source.docx").write_bytes(b"")
+    (folder.parent / "4").mkdir()
+    (folder.parent / "4" / "source.docx").write_bytes(b"x" * 5000)
+    gate = files.gated_scan(spark, str(tmp_path), limit=4000)
+    got = {r["path"].split("/")[-2]: r["error_type"] for r in gate.collect()}
+    assert got == {"2": None, "3 +%": "empty_file", "4": "file_too_large"}
+    assert [r["path"].split("/")[-2] for r in files.accepted_files(spark, str(tmp_path), gate, limit=4000).collect()] == ["2"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gate_opens_only_files_of_a_fitting_size(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(b"abc")
+    large = files.scan(spark, str(tmp_path)).filter("length > 10").select("path", "length")
+    scans = [line for line in plan_of(files.gated_scan(spark, str(tmp_path), limit=10)).splitlines() if "FileScan binaryFile" in line]
+    assert "content" not in plan_of(large).split("ReadSchema")[1]
+    assert any("content" in s.split("ReadSchema")[1] for s in scans) and any("content" not in s.split("ReadSchema")[1] for s in scans)
+    for s in scans:
+        if "content" in s.split("ReadSchema")[1]:
+            assert "GreaterThan(length,0)" in s and "LessThanOrEqual(length,10)" in s
+
+
+def test_batches_are_idempotent(spark, tmp_path):
+    schema = "template_id string, template_version_id string, block_id string"
+    b = spark.createDataFrame([("t1", "v1", "b1"), ("t1", "v2", "b2")], schema)
+    for form in ("parquet", "json"):
+        path = str(tmp_path / form)
+        for _ in range(3):
+            files.write_batch(b, path, 1, form)
+        files.write_batch(b.filter("block_id = 'b1'").withColumn("block_id", F.lit("b9")), path, 2, form)
+        rows = files.read_batches(spark, path, schema, form)
+        assert rows.count() == 3
+        versions = spark.createDataFrame([("t1", "v1"), ("t1", "v2"), ("t1", "v3")], "template_id string, template_version_id string")
+        got = files.parsed_of(versions, files.latest(rows, "template_id", "template_version_id")).orderBy("template_version_id").collect()
+        assert [(r["block_id"], r["batch"]) for r in got] == [("b9", 2), ("b2", 1), (None, None)]
+    out = files.output_rows(spark.createDataFrame([("d1", 1, "text")], "document_id string, version_number int, rendition string"))
+    assert out.first()["output_path"] == "documents/d1/1/output.docx"
 
 
 def test_logs(spark, tmp_path):
