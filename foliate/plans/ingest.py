@@ -15,7 +15,6 @@ from foliate.operators import jobs as J
 from foliate.plans import ddl
 from foliate.plans.operations import _EVENTS, _JOBS
 from foliate.plans.registry import query
-from foliate.session import scratch_dir
 from foliate.sources import docx, files
 from foliate.sources import tables as T
 from foliate.streaming import events as S
@@ -222,11 +221,7 @@ def stream_classify(spark, sf_dir):
     ddl.with_(_JOBS) + "SELECT DISTINCT template_version_id, 'CLASSIFY' AS job_type FROM jobs WHERE status = 'COMPLETED' AND job_type = 'PARSE'",
 )
 def stream_next_jobs(spark, sf_dir):
-    folder = scratch_dir(spark, "next-jobs")
-    stream = T.jobs_of(_event_stream(spark, sf_dir))
-    writer = S.write_next_jobs(stream, f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("template_version_id", "job_type")
+    return S.run_available(S.next_jobs(T.jobs_of(_event_stream(spark, sf_dir))), "next-jobs")
 
 
 @query(

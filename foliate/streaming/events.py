@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliate.functions import constants as K
 from foliate.operators.classify import classify
@@ -35,48 +35,97 @@ def notifications(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.filter((F.col("job_id") != "") & F.col("job_type").isin(*K.JOB_TYPES))
 
 
-def _fold(stuck_ms: int, retain_ms: int):
-    legal = set(K.LEGAL_TRANSITIONS)
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, since = state.get if state.exists else (None, None)
-        if state.hasTimedOut:
-            if current != "RUNNING":
-                state.remove()
-                return
-            state.update((current, since))
-            at = pd.Timestamp(since, unit="us")
-            yield pd.DataFrame([(key[0], at, current, current, "stuck")], columns=["job_id", "ts", "previous_status", "status", "verdict"])
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for ts, status, reason in zip(rows["ts"], rows["status"], rows["reason"]):
-            reset = current == "RUNNING" and status == "PENDING" and isinstance(reason, str)
-            ok = current is None or reset or (current, status) in legal
-            out.append((key[0], ts, current, status, "accepted" if ok else "illegal"))
-            if ok:
-                current = status
-            since = ts.value // 1000
-        state.update((current, since))
-        if current != "PENDING":
-            deadline = since // 1000 + (stuck_ms if current == "RUNNING" else retain_ms)
-            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["job_id", "ts", "previous_status", "status", "verdict"])
-
-    return fold
+class JobMachine(StatefulProcessor):
+    """State machine of one job: value state of a status and a time, and one timer.
+
+    Rows of a micro-batch come in any order and are taken in that of time; only they are held, the rest of a job's history is its state.
+    The timer raises the alert of a silent RUNNING job, or forgets a finished one.
+    """
+
+    def __init__(self, stuck_ms: int, retain_ms: int):
+        self.stuck_ms, self.retain_ms = stuck_ms, retain_ms
+        self.legal = set(K.LEGAL_TRANSITIONS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, since timestamp")
+
+    def _step(self, current: str | None, row: Row) -> bool:
+        if current is None or (current, row.status) in self.legal:
+            return True
+        return current == "RUNNING" and row.status == "PENDING" and row.reason is not None
+
+    def _wake(self, status: str, since: dt.datetime, now_ms: int) -> None:
+        for old in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(old)
+        if status != "PENDING":
+            wait = self.stuck_ms if status == "RUNNING" else self.retain_ms
+            self.handle.registerTimer(max(_millis(since) + wait, now_ms + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        current, since = self.job.get() if self.job.exists() else (None, None)
+        for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            ok = self._step(current, row)
+            yield Row(job_id=key[0], ts=row.ts, previous_status=current, status=row.status, verdict="accepted" if ok else "illegal")
+            current, since = row.status if ok else current, row.ts
+        self.job.update((current, since))
+        self._wake(current, since, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        current, since = self.job.get()
+        if current == "RUNNING":
+            yield Row(job_id=key[0], ts=since, previous_status=current, status=current, verdict="stuck")
+        else:
+            self.job.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class OncePerKey(StatefulProcessor):
+    """The key of the first row that comes; state is one flag per key, dropped ``retain_ms`` after the key's last row."""
+
+    def __init__(self, retain_ms: int):
+        self.retain_ms = retain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getValueState("sent", "sent boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = max(row.ts for row in rows)
+        if not self.sent.exists():
+            self.sent.update((True,))
+            yield Row(key=key[0])
+        until = max(_millis(last) + self.retain_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        timers = [*self.handle.listTimers()]
+        if not timers or until > max(timers):
+            for old in timers:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(until)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.sent.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(t: dt.datetime) -> int:
+    """Milliseconds since 1970; workers hold times in their own zone."""
+    return int(t.timestamp() * 1000)
 
 
 def job_states(events: DataFrame, delay: str = "10 minutes", stuck_minutes: int = K.STUCK_MINUTES, retain_days: int = 30) -> DataFrame:
     """State machine per job: every event accepted or illegal, and an alert for silent RUNNING jobs.
 
-    An illegal event leaves the state as it is. State per job is one status and one time; rows of a
-    micro-batch are folded in time order. A finished job is forgotten ``retain_days`` after its last event; an event
+    An illegal event leaves the state as it is. A finished job is forgotten ``retain_days`` after its last event; an event
     that comes later still starts a new history.
     """
     rows = events.select("job_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "status", "reason")
-    return rows.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(
-        _fold(stuck_minutes * 60_000, retain_days * 86_400_000), CHANGES, "status string, since bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    machine = JobMachine(stuck_minutes * 60_000, retain_days * 86_400_000)
+    return rows.withWatermark("ts", delay).groupBy("job_id").transformWithState(machine, CHANGES, "Append", "EventTime")
 
 
 def heartbeat_sessions(beats: DataFrame, ttl_seconds: int = K.HEARTBEAT_TTL_SECONDS, delay: str | None = None) -> DataFrame:
@@ -112,30 +161,34 @@ def validated(contents: DataFrame, content: str = "content", **limits) -> DataFr
     return verdict(contents, content, **limits)
 
 
-def write_next_jobs(jobs: DataFrame, out: str, key: str = "template_version_id"):
-    """``foreachBatch`` function that writes one CLASSIFY job per version with a finished PARSE job.
+def next_jobs(jobs: DataFrame, delay: str = "10 minutes", retain_days: int = 365, key: str = "template_version_id") -> DataFrame:
+    """One CLASSIFY job per version with a finished PARSE job, when the first such job comes.
 
-    Batch ``n`` owns the folder ``batch=n`` and overwrites it when it is run again, and it excludes
-    only versions written by earlier batches, so a repeated batch gives the same rows.
+    What was sent is state by version, so no batch reads what earlier ones wrote. A version is forgotten ``retain_days`` after its last
+    finished job.
     """
+    done = jobs.filter("status = 'COMPLETED' AND job_type = 'PARSE'").select(
+        F.get_json_object("payload", f"$.{key}").alias("key"), F.col("created_at").cast("timestamp").alias("ts")
+    )
+    rows = done.filter(F.col("key").isNotNull()).withWatermark("ts", delay)
+    sent = rows.groupBy("key").transformWithState(OncePerKey(retain_days * 86_400_000), "key string", "Append", "EventTime")
+    return sent.select(F.col("key").alias(key), F.lit("CLASSIFY").alias("job_type"))
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        wanted = batch.filter("status = 'COMPLETED' AND job_type = 'PARSE'").select(
-            F.get_json_object("payload", f"$.{key}").alias(key)
-        ).filter(F.col(key).isNotNull()).distinct()
-        if number > 0:
-            stored = spark.read.schema(f"{key} string, job_type string, batch bigint").parquet(out)
-            wanted = wanted.join(stored.filter(F.col("batch") < number).select(key), key, "left_anti")
-        wanted.withColumn("job_type", F.lit("CLASSIFY")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return jobs.writeStream.foreachBatch(write)
+def keyed_state(spark: SparkSession) -> None:
+    """State of keys lives in RocksDB on disk, of which a checkpoint takes the changes; processors with timers need it."""
+    spark.conf.set(STORE, ROCKS)
 
 
 def run_available(stream: DataFrame, purpose: str) -> DataFrame:
     """Run a stream over what is there, into Parquet in the shared scratch folder, and read it."""
     spark = stream.sparkSession
     folder = scratch_dir(spark, purpose)
+    keyed_state(spark)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{folder}/out")

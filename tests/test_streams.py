@@ -42,16 +42,39 @@ def test_state_machine_and_stuck_alert(spark, tmp_path):
     assert sum(v[3] == "accepted" for v in view) == 8
 
 
-def test_next_jobs_are_written_once(spark, tmp_path):
-    schema = "job_id bigint, job_type string, status string, payload string"
-    row = lambda i, v, s="COMPLETED": (i, "PARSE", s, f'{{"template_version_id":"{v}"}}')
-    drop(spark, tmp_path / "in", "a", [row(1, "v1"), row(2, "v1"), row(3, "v2", "RUNNING")], schema)
-    drop(spark, tmp_path / "in", "b", [row(4, "v1"), row(5, "v2")], schema)
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    writer = S.write_next_jobs(stream, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r["template_version_id"] for r in out.collect()) == ["v1", "v2"]
+def test_finished_jobs_are_forgotten(spark, tmp_path):
+    day = 24 * 60
+    stream = events(
+        spark, tmp_path / "in",
+        [(1, 0, "PENDING", None), (1, 1, "RUNNING", None), (1, 2, "COMPLETED", None)],
+        [(2, 3 * day, "PENDING", None)],
+        [(2, 4 * day, "RUNNING", None)],
+        [(1, 5 * day, "RUNNING", None)],
+    )
+    got = S.run_available(S.job_states(stream, "1 minute", retain_days=2), "test-forget").filter("job_id = 1").collect()
+    assert sorted((r["previous_status"] or "", r["status"], r["verdict"]) for r in got) == [
+        ("", "PENDING", "accepted"), ("", "RUNNING", "accepted"), ("PENDING", "RUNNING", "accepted"), ("RUNNING", "COMPLETED", "accepted"),
+    ]
+
+
+JOB = "job_id bigint, job_type string, status string, payload string, created_at timestamp_ntz"
+
+
+def job(i, version, day=0, status="COMPLETED", kind="PARSE"):
+    import datetime as dt
+
+    return (i, kind, status, f'{{"template_version_id":"{version}"}}', dt.datetime(2024, 1, 1) + dt.timedelta(days=day))
+
+
+def test_next_jobs_are_sent_once(spark, tmp_path):
+    first = [job(1, "v1"), job(2, "v1"), job(3, "v2", status="RUNNING"), job(6, "v3", kind="CLASSIFY")]
+    for name, rows in (("a", first), ("b", [job(4, "v1", 1), job(5, "v2", 1)]), ("c", [job(7, "v9", 20)]), ("d", [job(8, "v9", 21)]), ("e", [job(9, "v1", 22), job(10, "v9", 22)])):
+        drop(spark, tmp_path / "in", name, rows, JOB)
+    read = lambda: spark.readStream.schema(JOB).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sent = lambda **k: sorted(r["template_version_id"] for r in S.run_available(S.next_jobs(read(), **k), "test-next").collect())
+    assert sent() == ["v1", "v2", "v9"]
+    # v1 was forgotten in between
+    assert sent(retain_days=5) == ["v1", "v1", "v2", "v9"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
