@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foliate.functions.text import first_of, runs_text, sha, strip
 
@@ -104,35 +109,71 @@ def check_statistics(expected: DataFrame, found: DataFrame, *key: str) -> DataFr
     )
 
 
-def missing_content(expected: DataFrame, rendered: DataFrame, *key: str) -> DataFrame:
-    """Expected texts that neither are in, nor contain, any rendered text of their document.
+def _without_a_match(wanted: list[str], shown: list[str]) -> list[str]:
+    """Wanted texts that are in none of the shown ones and hold none of them.
 
-    Texts present as they are leave first by an anti join on (document, text). Only documents with a
-    rest go on: the rest is searched in the document's joined rendered text, then the other way
-    round, inside one row per document. No pair of texts is ever emitted.
+    One automaton of all wanted texts reads every shown text once, and one of all shown texts reads what is still missing, each
+    up to its first match; so the work is that of reading both sides, not of searching each text in each other.
+    """
+    missing = dict.fromkeys(wanted)
+    for text in _reader(wanted, shown):
+        missing.pop(text, None)
+        if not missing:
+            return []
+    automaton = _automaton(shown)
+    return sorted(t for t in missing if automaton is None or next(automaton.iter(t), None) is None)
+
+
+def _automaton(texts: list[str]):
+    automaton = ahocorasick.Automaton()
+    for text in texts:
+        automaton.add_word(text, text)
+    if not len(automaton):
+        return None
+    automaton.make_automaton()
+    return automaton
+
+
+def _reader(patterns: list[str], texts: list[str]) -> Iterator[str]:
+    """Patterns as they are met in the texts; a pattern may come more than once."""
+    automaton = _automaton(patterns)
+    if automaton is not None:
+        for text in texts:
+            for _, found in automaton.iter(text):
+                yield found
+
+
+def missing_texts(expected: DataFrame, rendered: DataFrame, *key: str) -> DataFrame:
+    """Per document with any, the sorted expected texts that neither are in, nor contain, a rendered text of it.
+
+    Texts present as they are leave first by an anti join on (document, text). Only documents with a rest go on, as one row
+    each with the rest and what is shown. No pair of texts is ever emitted.
     """
     key = list(key)
     wanted = expected.select(*key, strip("text").alias("text")).filter("text <> ''").distinct()
     shown = rendered.select(*key, strip("text").alias("text")).filter("text <> ''").distinct()
     rest = wanted.join(shown, [*key, "text"], "left_anti").groupBy(*key).agg(F.collect_list("text").alias("_rest"))
     texts = shown.join(rest.select(*key), key, "left_semi").groupBy(*key).agg(F.collect_list("text").alias("_shown"))
-    rows = rest.join(texts, key, "left").withColumns({
-        "_shown": F.coalesce("_shown", F.array().cast("array<string>")),
-        "_all": F.concat(F.lit("\0"), F.array_join(F.coalesce("_shown", F.array().cast("array<string>")), "\0"), F.lit("\0")),
-    })
-    missing = F.filter(
-        "_rest",
-        lambda e: ~F.col("_all").contains(e) & ~F.exists("_shown", lambda r: e.contains(r)),
-    )
-    return rows.select(*key, F.explode(F.array_sort(missing)).alias("text"))
+    rows = rest.join(texts, key, "left").select(*key, "_rest", F.coalesce("_shown", F.array().cast("array<string>")).alias("_shown"))
+
+    def run(batches):
+        for batch in batches:
+            own = [_without_a_match(w, s) for w, s in zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(own, pa.list_(pa.string()))], [*key, "texts"])
+
+    out = StructType([*[rows.schema[k] for k in key], StructField("texts", ArrayType(StringType()))])
+    return rows.mapInArrow(run, out).filter(F.size("texts") > 0)
+
+
+def missing_content(expected: DataFrame, rendered: DataFrame, *key: str) -> DataFrame:
+    """The missing texts as rows."""
+    return missing_texts(expected, rendered, *key).select(*key, F.explode("texts").alias("text"))
 
 
 def missing_warning(missing: DataFrame, *key: str) -> DataFrame:
-    """Number of missing texts and up to three samples (first 50 characters) per document."""
-    return missing.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("missing_texts"),
-        F.slice(F.array_sort(F.collect_list(F.substring("text", 1, 50))), 1, 3).alias("samples"),
-    )
+    """Number of missing texts and up to three samples (first 50 characters) per document, of rows of ``missing_texts``."""
+    short = F.transform(F.slice("texts", 1, 3), lambda t: F.substring(t, 1, 50))
+    return missing.select(*key, F.size("texts").cast("bigint").alias("missing_texts"), short.alias("samples"))
 
 
 def compare(first: DataFrame, second: DataFrame, *key: str) -> DataFrame:

@@ -202,20 +202,34 @@ def rendition_checks(spark, sf_dir):
     return checked.select(KEY, "error_code", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query(
-    "content_missing",
-    ddl.with_(ddl.BLOCKS, f"""expected AS (SELECT DISTINCT template_version_id, {ddl.strip('text')} AS text FROM blocks),
-shown AS (SELECT DISTINCT template_version_id, {ddl.strip("CASE WHEN sequence % 4 = 1 THEN left(text, 40) ELSE text END")} AS text FROM blocks WHERE sequence % 4 <> 2)""")
-    + """SELECT e.template_version_id, e.text FROM expected e WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.template_version_id = e.template_version_id
-  AND s.text <> '' AND (contains(s.text, e.text) OR contains(e.text, s.text)))""",
-)
-def content_missing(spark, sf_dir):
-    """Against a rendition that cut some blocks to 40 characters and lost others."""
+_MISSING = ddl.with_(ddl.BLOCKS, f"""expected AS (SELECT DISTINCT template_version_id, {ddl.strip('text')} AS text FROM blocks),
+shown AS (SELECT DISTINCT template_version_id, {ddl.strip("CASE WHEN sequence % 4 = 1 THEN left(text, 40) ELSE text END")} AS text FROM blocks WHERE sequence % 4 <> 2),
+missing AS (SELECT e.template_version_id, e.text FROM expected e WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.template_version_id = e.template_version_id
+  AND s.text <> '' AND (contains(s.text, e.text) OR contains(e.text, s.text))))""")
+
+
+def _incomplete(spark, sf_dir):
+    """Blocks, and a rendition that cut some of them to 40 characters and lost others."""
     blocks = T.text_blocks(spark, sf_dir)
     shown = blocks.filter(F.col("sequence") % 4 != 2).withColumn(
         "text", F.when(F.col("sequence") % 4 == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
     )
-    return D.missing_content(blocks, shown, KEY)
+    return blocks, shown
+
+
+@query("content_missing", _MISSING + "SELECT * FROM missing")
+def content_missing(spark, sf_dir):
+    return D.missing_content(*_incomplete(spark, sf_dir), KEY)
+
+
+@query(
+    "content_warnings",
+    _MISSING + "SELECT template_version_id, count(*) AS missing_texts, array_to_string(list(left(text, 50) ORDER BY text)[1:3], '|') AS samples FROM missing GROUP BY template_version_id",
+)
+def content_warnings(spark, sf_dir):
+    """Number of missing texts and up to three samples per document."""
+    found = D.missing_warning(D.missing_texts(*_incomplete(spark, sf_dir), KEY), KEY)
+    return found.select(KEY, "missing_texts", F.array_join("samples", "|").alias("samples"))
 
 
 @query(

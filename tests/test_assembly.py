@@ -124,10 +124,34 @@ def test_missing_content_against_brute_force(spark):
     got = {tuple(r) for r in D.missing_content(spark.createDataFrame(want, schema), spark.createDataFrame(shown, schema), "doc").collect()}
     brute = {(d, t) for d, t in want if t.strip() and not any(d == e and s.strip() and (t in s.strip() or s.strip() in t) for e, s in shown)}
     assert got == brute == {("d", "zeta"), ("e", "gamma")}
-    w = D.missing_warning(spark.createDataFrame(sorted(brute), schema), "doc").orderBy("doc").first()
+    missing = D.missing_texts(spark.createDataFrame(want, schema), spark.createDataFrame(shown, schema), "doc")
+    w = D.missing_warning(missing, "doc").orderBy("doc").first()
     assert (w["missing_texts"], w["samples"]) == (1, ["zeta"])
 
 
+def test_missing_texts_of_random_strings(spark):
+    import random
+
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 9)))
+    for _ in range(200):
+        want, shown = {text() for _ in range(rng.randrange(6))}, {text() for _ in range(rng.randrange(6))}
+        brute = sorted(t for t in want if not any(t in s or s in t for s in shown))
+        assert D._without_a_match([*want], [*shown]) == brute
+
+
+def test_missing_texts_of_a_long_document():
+    import random
+    import time
+
+    rng = random.Random(1)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(34_000)]
+    started = time.perf_counter()
+    # 1 MB wanted against 1 MB shown; every other line was cut
+    missing = D._without_a_match(lines[:17_000], [x[:40] if i % 2 else x[20:] for i, x in enumerate(lines[8_000:25_000])])
+    assert missing == sorted(lines[:8_000]) and time.perf_counter() - started < 10
+
+
 def test_comparison_reasons(spark):
     schema = "doc string, position int, block_type string, rendered string"
     base = [("d", 0, "paragraph", "a"), ("d", 1, "table", "t")]
