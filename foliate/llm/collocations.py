@@ -54,29 +54,39 @@ class Index:
         self.n = len(ids)
         self.symbols = int(ids.max(initial=0)) + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=self.symbols))))
-        self.sides = [self._side(ids, depth), self._side(ids[::-1], depth)]
+        self.ids, self.depth = ids, depth
+        self.sides: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _side(self, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The transform, and (symbol, place) of each of its entries in ascending order."""
         n = self.n
-        rank, size = ids.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while size < depth:
+        rank, size, order = ids.astype(np.int64), 1, None
+        while size < depth or order is None:
             step = min(size, depth - size)
-            key = rank * (int(rank.max(initial=0)) + 1)
-            key[: max(n - step, 0)] += rank[step:]
-            order = np.argsort(key, kind="stable")
-            new = np.zeros(n, np.int64)
-            new[1:] = key[order[1:]] != key[order[:-1]]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
+            key = rank
+            if step:
+                key = rank * (int(rank.max(initial=0)) + 1)
+                key[: max(n - step, 0)] += rank[step:]
+            # the order among equal ones does not matter: they stay in one interval
+            order = np.argsort(key)
             size += step
+            if size < depth:
+                rank = np.empty(n, np.int64)
+                rank[order] = np.cumsum(np.concatenate(([0], key[order[1:]] != key[order[:-1]])))
+            elif not step:
+                break
         before = ids[order - 1].astype(np.int64)
         return before, np.sort(before * n + np.arange(n))
 
-    def _extend(self, side: int, at: list[np.ndarray], size: np.ndarray):
-        """All extensions on one side: their parents, words, intervals and sizes."""
-        transform, places = self.sides[side]
+    def side(self, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """The index for extensions to the left (0) or right (1), made when it is first asked for."""
+        if side not in self.sides:
+            self.sides[side] = self._side(self.ids[::-1] if side else self.ids, self.depth)
+        return self.sides[side]
+
+    def _extend(self, side: int, at: list[np.ndarray], size: np.ndarray, last: bool):
+        """All extensions on one side: their parents, words, intervals (if there is a next step) and sizes."""
+        transform, places = self.side(side)
         parent = np.repeat(np.arange(len(size)), size)
         key = parent * self.symbols + transform[A.ranges(at[side], size)]
         key, count = np.unique(key, return_counts=True)
@@ -87,6 +97,8 @@ class Index:
         keep = word > 0
         parent, word, count, smaller = parent[keep], word[keep], count[keep], smaller[keep]
         new = [None, None]
+        if last:
+            return parent, word, new, count
         # the places behind the smaller symbols, in the order of the places, are where this symbol's block begins
         new[side] = np.searchsorted(places, word * self.n + at[side][parent])
         new[1 - side] = at[1 - side][parent] + smaller
@@ -99,7 +111,7 @@ class Index:
         found = word[:, None]
         for length in range(2, k + 1):
             side = length % 2 ^ 1
-            parent, word, at, size = self._extend(side, at, size)
+            parent, word, at, size = self._extend(side, at, size, length == k)
             held = found[parent]
             found = np.column_stack([held, word] if side else [word, held])
         return found, size
