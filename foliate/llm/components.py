@@ -27,12 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two integer columns a and b. Each round rewrites the edges towards the smallest nodes and
     is written to the shared folder, so that lineage stays short; rounds grow with the logarithm of the longest path.
+    They run while the plan is built.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     e = stored(e, "edges")
     seen = None
     while True:
-        mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        # the same edges as before: their number and two sums of 64-bit hashes
+        mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20)")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
         if mark == seen or not mark[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
