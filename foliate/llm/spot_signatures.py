@@ -4,8 +4,10 @@ A spot is a very common word (an anchor) with the chain of the next ``CHAIN`` co
 skipped. Anchors occur in running prose and hardly in navigation or lists, so the set of a text's spots describes its prose.
 The fingerprint is the sorted set of all spots, 32 bits each, in hexadecimal: nothing is sampled from it.
 
-Two fingerprints are compared by the Jaccard coefficient of their sets; sets whose lengths alone rule out a wanted
-likeness are not compared at all. A text without a spot has one signature, of its words (or, without words, of its
+Two fingerprints are compared by the Jaccard coefficient of their sets. ``near_duplicates`` joins all of a corpus: distinct sets are dealt to
+partitions by their length, whose bounds grow by the wanted likeness, so that a pair in reach lies in one or two neighbouring ones; inside a partition they
+meet under their rarest spots, of which a pair in reach must share some; sets whose lengths rule the likeness out are not compared, the others
+exactly, along a spanning forest. A text without a spot has one signature, of its words (or, without words, of its
 bytes); an empty text has none. Two empty fingerprints are alike (1), an empty and another are not (0).
 
 Defined results for edits: a null text is empty; the text after the last is the first; rows that share a doc_id follow one
@@ -23,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm import arrays as A
-from foliate.llm.common import group_count
+from foliate.llm import near_copies as N
+from foliate.llm.common import group_count, stored
+from foliate.llm.components import components
 
 CHAIN = 2
 GROUP_BYTES = 8 << 20
@@ -188,3 +192,53 @@ def edits(docs: DataFrame) -> DataFrame:
         )
 
     return dealt.groupBy("part").applyInArrow(run, SCHEMA)
+
+
+def _sets(batches):
+    for batch in batches:
+        for part in A.slices(batch, "text"):
+            marks, limits = signatures(part.column(1))
+            data, at = marks.astype("<u4").tobytes(), limits.tolist()
+            lists = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(marks.astype(np.int64)))
+            columns = [part.column(0), pa.array(N.names_of(marks, limits)), pa.array(np.diff(limits)), lists, pa.array([data[4 * a : 4 * b] for a, b in zip(at, at[1:])], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s", "n", "spots", "marks"])
+
+
+def _bounds(longest: int, least: float) -> list[int]:
+    """Where partitions by length begin: lengths of one are within ``least`` of each other, of every second one never."""
+    out = [0, 1]
+    while out[-1] <= longest:
+        out.append(int(out[-1] / least) + 1)
+    return out
+
+
+def cells(points: DataFrame, least: float) -> DataFrame:
+    """Each set's cells, rarest spots first: enough that sets alike to ``least`` share ``DEPTH`` of them, or all they have in common."""
+    spots = points.filter("n > 0").select("s", "n", F.explode("spots").alias("spot"))
+    counts = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("k"))
+    ranked = spots.join(counts, "spot").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("k", "spot"))).alias("r"))
+    longest = points.agg(F.max("n")).first()[0] or 0
+    # the last bound that is not above the length; a set is also shown to the partition above its own
+    bounds = F.array(*[F.lit(b) for b in _bounds(longest, least)])
+    level = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+    prefix = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * least - 1e-9) + N.DEPTH).cast("int")
+    named = ranked.withColumn("level", level).withColumn("rare", F.transform(F.slice("r", F.lit(1), prefix), lambda x: x["spot"]))
+    both = F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("at")
+    return named.select("s", "n", both, "rare").select("s", "n", F.expr("transform(rare, x -> xxhash64(at, x))").alias("bands"))
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, limit: int = N.TASK_BYTES) -> DataFrame:
+    """Per document the size of its set and its class: the smallest doc_id among those that it is linked to, directly or through others.
+
+    Links are between sets alike to ``least`` (0.75 or more), all of them: no candidate is lost. Texts with equal sets are one set. Null
+    doc_ids never name a class (null if there is no other). Runs jobs while the plan is built.
+    """
+    columns = "doc_id bigint, s bigint, n bigint, spots array<bigint>, marks binary"
+    sets = stored(docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sets, columns), "spots")
+    points = stored(sets.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("spots").alias("spots")), "points")
+    # every pair in a cell is compared on the whole sets
+    same = F.lit(bytearray(N.BANDS * N.ROWS))
+    roots = components(N.links(sets.select("doc_id", "s", same.alias("sketch"), "marks"), points, limit, cells(points, least), least))
+    labelled = points.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("root", "s").alias("component"))
+    first = labelled.groupBy("component").agg(F.min("least").alias("class_id"))
+    return sets.select("doc_id", "s", "n").join(labelled.join(first, "component").select("s", "class_id"), "s").select("doc_id", "n", "class_id")
