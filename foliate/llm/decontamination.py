@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliate.llm import arrays as A
-from foliate.llm.common import free_name, text_bytes
+from foliate.llm.common import free_name, stored, text_bytes
 
 N = 13
 BLOCK_BYTES = 16 << 20
@@ -104,7 +104,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int =
     )
     kinds = dict(zip(names.values(), ("bigint", "bigint", "binary", "array<string>")))
     schema = T.StructType([f if f.name not in kinds else T.StructField(f.name, T._parse_datatype_string(kinds[f.name])) for f in out.schema])
-    for block in blocks_of(benchmark, block_bytes):
+    blocks = blocks_of(benchmark, block_bytes)
+    for block in blocks:
         grams = spark.sparkContext.broadcast(Grams([(r.item_id, r.text) for r in block.collect()], n))
 
         def scan(batches, grams=grams):
@@ -133,6 +134,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int =
                     yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
         out = out.mapInArrow(scan, schema)
+        if len(blocks) > 1:
+            # one set at a time lies on the executors
+            out = stored(out, "judged")
+            grams.unpersist()
     return out
 
 

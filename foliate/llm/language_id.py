@@ -1,7 +1,7 @@
 """Language identification by fusing evidence.
 
 Each text has a likelihood under every language: byte trigrams of its letters, counted in a bounded sample of labelled
-rows (of each label the ``SAMPLE`` rows with the smallest hash of doc_id, so that a rare language has a model too), and under *und*, a model in which all trigrams are alike.
+rows (of each label the ``SAMPLE`` rows with the smallest hash of doc_id and text, so that a rare language has a model too), and under *und*, a model in which all trigrams are alike.
 To it come, as further likelihoods or priors,
 
 * the declared language of the markup (or of the row): how often a text of a language bears a declaration,
@@ -56,15 +56,17 @@ def trigrams(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, label: str = "lang", rows: int = SAMPLE) -> DataFrame:
-    """Of each label the rows with the smallest hashes of doc_id, ``rows`` at most and one at least."""
+    """Of each label the different rows with the smallest hashes of doc_id and text, ``rows`` at most and one at least."""
     name, mark, n, least, rank = (free_name(docs, x) for x in ("_label", "_mark", "_n", "_least", "_rank"))
-    labelled = docs.filter(F.col(label).isNotNull()).withColumn(mark, F.xxhash64("doc_id"))
+    labelled = docs.filter(F.col(label).isNotNull()).withColumn(mark, F.xxhash64("doc_id", "text"))
     sizes = labelled.groupBy(F.col(label).alias(name)).agg(F.count(F.lit(1)).alias(n), F.min(mark).alias(least))
     # Rows by a share of the hashes that is a little large, then the smallest of them.
     place = F.col(mark).cast("double") / 2.0**64 + 0.5
     near = (place * F.col(n) <= rows + 6 * rows**0.5) | (F.col(mark) == F.col(least))
     some = labelled.join(F.broadcast(sizes), F.col(label) == F.col(name)).filter(near)  # one row per language
-    order = Window.partitionBy(name).orderBy(mark, "doc_id")
+    # equal rows share a hash and count once, so that no group of copies fills a window
+    some = some.dropDuplicates([name, mark])
+    order = Window.partitionBy(name).orderBy(mark)
     return some.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= rows).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
