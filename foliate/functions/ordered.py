@@ -1,10 +1,11 @@
 """Ordered operators for groups that may hold a large part of all rows.
 
 A window over ``partitionBy(key)`` puts a whole key into one task. The functions here split every
-key into order-preserving buckets: the rows are windowed per (key, bucket), and only one summary row
-per bucket is windowed per key. ``bucket`` must be non-decreasing in the order, for example an id
-divided by a constant or the hour of a time stamp. Results equal the plain window's, also for rows whose
-key or order is NULL: such rows form a group, and the first bucket, of their own.
+key into order-preserving buckets and windows only inside them; what a bucket needs of all earlier ones of its key is one
+summary row per bucket, scanned in two levels: inside spans of ``2^SPAN_BITS`` buckets, then over one row per span. ``bucket`` must be a
+non-decreasing integer in the order, such as ``id_bucket`` or ``time_bucket``. For any 64-bit id, dense or hashed, no window holds more than
+65 536 rows of a key in a bucket, ``2^24`` summary rows in a span, or ``2^24`` spans; for times, a bucket holds what one key gets in four seconds.
+Results equal the plain window's, also for rows whose key or order is NULL: such rows form a group, and the first bucket, of their own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ID_BUCKET = 65_536
+SPAN_BITS = 24
 
 
 def id_bucket(c: Column | str, size: int = ID_BUCKET) -> Column:
@@ -24,6 +26,13 @@ def id_bucket(c: Column | str, size: int = ID_BUCKET) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
+def time_bucket(c: Column | str) -> Column:
+    """Four seconds of a time stamp without zone, since the epoch; needs no session time zone."""
+    c = F.col(c) if isinstance(c, str) else c
+    seconds = F.unix_date(F.to_date(c)).cast("bigint") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.shiftright(seconds, 2)
+
+
 def hour_bucket(c: Column | str) -> Column:
     """Hours since the epoch of a time stamp without zone; needs no session time zone."""
     c = F.col(c) if isinstance(c, str) else c
@@ -39,16 +48,32 @@ def _back(rows: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner
     return rows.join(named, match, how).drop(*[f"_on_{c}" for c in on])
 
 
+def _scan(summary: DataFrame, keys: Sequence[str], value: str, how: str) -> DataFrame:
+    """(keys, _bucket, value): the sum, or the last that is not NULL, of ``value`` over all earlier buckets of a key.
+
+    ``summary`` has one row per key and bucket.
+    """
+    keys = list(keys)
+    fold = F.sum if how == "sum" else lambda c: F.last(c, ignorenulls=True)
+    over = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    rows = summary.withColumn("_span", F.shiftright("_bucket", SPAN_BITS))
+    inside = rows.withColumn("_near", fold(value).over(over(*keys, "_span").orderBy("_bucket"))).drop(value)
+    whole = F.sum(value) if how == "sum" else F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("_bucket")))
+    spans = rows.groupBy(*keys, "_span").agg(whole.alias(value))
+    far = spans.select(*keys, "_span", fold(value).over(over(*keys).orderBy("_span")).alias("_far"))
+    near, away = F.col("_near"), F.col("_far")
+    total = F.coalesce(near, F.lit(0)) + F.coalesce(away, F.lit(0)) if how == "sum" else F.coalesce(near, away)
+    return _back(inside, far, [*keys, "_span"]).select(*keys, "_bucket", total.alias(value))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "rank") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` as column ``name``."""
     keys = list(keys)
     rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
-        _back(rows.withColumn("_inside", inside), offsets, [*keys, "_bucket"])
+        _back(rows.withColumn("_inside", inside), _scan(sizes, keys, "_before", "sum"), [*keys, "_bucket"])
         .withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint"))
         .drop("_bucket", "_inside", "_before")
     )
@@ -61,12 +86,9 @@ def lagged(
     keys = list(keys)
     value = F.struct(*[c.alias(n) for n, c in values.items()])
     rows = df.withColumn("_bucket", bucket)
-    last = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carry = last.select(
-        *keys, "_bucket", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
-    )
+    last = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_carry"))
     inside = F.lag(value).over(W.partitionBy(*keys, "_bucket").orderBy(*order))
-    out = _back(rows.withColumn("_inside", inside), carry, [*keys, "_bucket"])
+    out = _back(rows.withColumn("_inside", inside), _scan(last, keys, "_carry", "last"), [*keys, "_bucket"])
     out = out.withColumn("_previous", F.coalesce("_inside", "_carry"))
     return out.withColumns({n: F.col("_previous")[n] for n in values}).drop(
         "_bucket", "_inside", "_carry", "_previous"
@@ -80,7 +102,7 @@ def asof(
     left_time: str,
     right_time: str,
     values: Sequence[str],
-    bucket=hour_bucket,
+    bucket=time_bucket,
 ) -> DataFrame:
     """Left rows with the values of the latest right row at or before their time (NULL if none).
 
@@ -109,10 +131,7 @@ def asof(
     )
     # Buckets that hold only left rows need a carry as well, so both sides name the buckets.
     buckets = merged.groupBy(*keys, "_bucket").agg(F.max(F.lit(1)).alias("_x")).drop("_x")
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carry = _back(buckets, last, [*keys, "_bucket"], "left").select(
-        *keys, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carry")
-    )
+    carry = _scan(_back(buckets, last, [*keys, "_bucket"], "left").withColumnRenamed("_last", "_carry"), keys, "_carry", "last")
     upto = W.partitionBy(*keys, "_bucket").orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
     seen = merged.withColumn("_seen", F.last("_v", ignorenulls=True).over(upto)).filter(F.col("_side") == 1)
     return (

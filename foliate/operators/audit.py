@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
-from foliate.functions.ordered import hour_bucket, lagged
+from foliate.functions.ordered import id_bucket, lagged, time_bucket
 
 
 def meta(name: str, column: str = "metadata") -> Column:
@@ -94,7 +94,7 @@ def emit(rows: DataFrame, event: str, entity_id: str) -> DataFrame:
 # --- checks -----------------------------------------------------------------------------------
 def out_of_order(logs: DataFrame, keys: Sequence[str] = ("entity_id",)) -> DataFrame:
     """Rows stamped earlier than the row logged before them for the same entity."""
-    rows = lagged(logs, keys, [F.col("id")], F.floor(F.col("id") / 65_536), {"_before": F.col("timestamp")})
+    rows = lagged(logs, keys, [F.col("id")], id_bucket("id"), {"_before": F.col("timestamp")})
     return rows.filter(F.col("timestamp") < F.col("_before")).drop("_before")
 
 
@@ -104,7 +104,7 @@ def stage_of(action: Column) -> Column:
 
 def gaps(logs: DataFrame, keys: Sequence[str], minutes: int) -> DataFrame:
     """Silences longer than ``minutes`` between two rows of the same key."""
-    rows = lagged(logs, keys, [F.col("timestamp"), F.col("id")], hour_bucket("timestamp"), {"previous_timestamp": F.col("timestamp")})
+    rows = lagged(logs, keys, [F.col("timestamp"), F.col("id")], time_bucket("timestamp"), {"previous_timestamp": F.col("timestamp")})
     return rows.withColumn("gap_seconds", F.timestamp_diff("SECOND", "previous_timestamp", "timestamp")).filter(
         F.col("gap_seconds") > minutes * 60
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
-from foliate.functions.ordered import hour_bucket, lagged
+from foliate.functions.ordered import hour_bucket, lagged, time_bucket
 from foliate.functions.text import first_of
 
 
@@ -111,7 +111,7 @@ def restartable(versions: DataFrame, stages: DataFrame) -> DataFrame:
 
 def transitions(events: DataFrame, keys: Sequence[str] = ("job_id",)) -> DataFrame:
     """Each event with the status before it. Hot jobs are split by hour, see ``lagged``."""
-    return lagged(events, keys, [F.col("ts"), F.col("event_id")], hour_bucket("ts"), {"previous_status": F.col("status")})
+    return lagged(events, keys, [F.col("ts"), F.col("event_id")], time_bucket("ts"), {"previous_status": F.col("status")})
 
 
 def is_legal(before: Column, after: Column) -> Column:

@@ -76,3 +76,42 @@ def test_asof_keeps_every_left_row(holes):
     for row in got:
         seen = [(at, hit is not None, hit) for k, at, hit in r if k == row["key"] and row["t"] is not None and at <= row["t"]]
         assert row["hit"] == (max(seen)[2] if seen else None)
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """A hot key with hashed 64-bit ids, negative ones too, and a burst of times inside one hour."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(3000):
+        key = "hot" if i % 3 else f"k{i % 7}"
+        ident = rng.randrange(-(2**63), 2**63)
+        second = rng.randrange(3600) if i % 5 else rng.randrange(10**8)
+        rows.append((key, ident, second))
+    df = spark.createDataFrame(rows, "key string, id bigint, s int").repartition(4)
+    return df.withColumn("ts", F.expr("timestamp_ntz'2024-03-31 00:00:00' + make_dt_interval(0, 0, 0, s)")).cache()
+
+
+def test_hashed_ids_and_bursts(hard):
+    w = W.partitionBy("key")
+    same(O.ranked(hard, ["key"], [F.col("id")], O.id_bucket("id"), "r"), hard.withColumn("r", F.row_number().over(w.orderBy("id")).cast("bigint")))
+    order = [F.col("ts"), F.col("id")]
+    got = O.lagged(hard, ["key"], order, O.time_bucket("ts"), {"p": F.col("id")})
+    same(got, hard.withColumn("p", F.lag("id").over(w.orderBy(*order))))
+    left, right = hard.filter("id % 2 = 0").select("key", "ts"), hard.filter("id % 2 <> 0").select("key", F.col("ts").alias("at"), "id")
+    seen = O.asof(left, right, ["key"], "ts", "at", ["id"]).groupBy("key", "ts").agg(F.max("id").alias("id"))
+    plain = left.distinct().join(right, "key", "left").groupBy("key", "ts").agg(F.max(F.when(F.col("at") <= F.col("ts"), F.struct("at", "id"))).alias("m"))
+    same(seen, plain.select("key", "ts", "m.id"))
+
+
+def test_no_window_holds_a_hot_key(hard):
+    """Rows of a bucket, summary rows of a span and spans of a key: each far fewer than the key's rows."""
+    hot = hard.filter("key = 'hot'")
+    most = lambda df, *by: df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    for bucket in (O.id_bucket("id"), O.time_bucket("ts")):
+        rows = hot.withColumn("b", bucket).withColumn("span", F.shiftright("b", O.SPAN_BITS))
+        buckets = rows.select("span", "b").distinct()
+        assert most(rows, "b") < 20 and rows.select("span").distinct().count() <= 2**O.SPAN_BITS
+        assert buckets.select((F.col("b") - F.shiftleft("span", O.SPAN_BITS)).alias("x")).agg(F.min("x"), F.max("x")).first()[1] < 2**O.SPAN_BITS
+    ids = hot.withColumn("span", F.shiftright(O.id_bucket("id"), O.SPAN_BITS))
+    assert most(ids, "span") < 5
