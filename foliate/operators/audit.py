@@ -16,6 +16,9 @@ def meta(name: str, column: str = "metadata") -> Column:
 
 
 def _page(rows: DataFrame, skip: int, limit: int | None) -> DataFrame:
+    """A page of the rows, newest first; all rows, in no order, where no page is asked for."""
+    if not skip and limit is None:
+        return rows
     rows = rows.orderBy(F.col("timestamp").desc(), F.col("id").desc())
     if skip:
         rows = rows.offset(skip)
@@ -76,6 +79,44 @@ def promote(logs: DataFrame) -> DataFrame:
     )
 
 
+#: Metadata keys that a written log has as columns.
+PROMOTED = ("document_id", "template_version_id", "job_id")
+VERSION_KEYS = ("version_number", "version", "version_intent")
+
+
+def write_log(logs: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """The log with its hot metadata keys as columns, sorted by document; filters on them reach the scan.
+
+    A document's rows lie in few row groups; for the other keys each row group has a Bloom filter. Range partitioning
+    samples the keys, so a document with a large part of all rows gets several files.
+    """
+    out = logs.withColumns({n: meta(n) for n in PROMOTED} | {f"meta_{n}": meta(n).try_cast("int") for n in VERSION_KEYS})
+    files = max(1, -(-logs.count() // rows_per_file))
+    rows = out.repartitionByRange(files, "document_id", "timestamp", "id").sortWithinPartitions("document_id", "timestamp", "id")
+    writer = rows.write.option("parquet.bloom.filter.expected.ndv", 100_000)
+    for name in ("template_version_id", "job_id"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.parquet(path)
+
+
+def stored_by_key(log: DataFrame, name: str, value, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """``by_key`` on a written log."""
+    return _page(log.filter(F.col(name) == str(value)), skip, limit)
+
+
+def stored_by_version(log: DataFrame, document_id, number: int, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """``by_version`` on a written log."""
+    hit = F.lit(False)
+    for name in VERSION_KEYS:
+        hit = hit | (F.col(f"meta_{name}") == number)
+    return _page(log.filter((F.col("document_id") == str(document_id)) & hit), skip, limit)
+
+
+def stored_by_keys(log: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """``by_keys`` on a written log."""
+    return log.join(wanted.select(F.col(name).cast("string").alias(name)).distinct(), name, "left_semi")
+
+
 # --- emitted rows -----------------------------------------------------------------------------
 def emit(rows: DataFrame, event: str, entity_id: str) -> DataFrame:
     """Audit rows of one event for every row; metadata from the columns the rows have. Ids are strings."""

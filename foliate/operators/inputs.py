@@ -56,6 +56,20 @@ def with_context(section_rows: DataFrame) -> DataFrame:
     }).drop("_parent", "_nested")
 
 
+def ancestors(section_rows: DataFrame) -> DataFrame:
+    """(version, section, ancestor_id, ancestor_path, distance): every section above another one, nearest first at distance 1.
+
+    The prefixes of a path are the paths of its ancestors, so the closure is one equi-join; it has at most one row per level of a path.
+    """
+    segments = F.split("structural_path", "/")
+    n = F.size(segments)
+    above = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.array_join(F.slice(segments, F.lit(1), i), "/").alias("path"), i.alias("i")))
+    below = section_rows.filter(n > 1).select(VERSION, "section_id", n.alias("n"), F.explode(above).alias("p"))
+    named = section_rows.select(VERSION, F.col("structural_path").alias("ancestor_path"), F.col("section_id").alias("ancestor_id"))
+    found = below.select(VERSION, "section_id", F.col("p.path").alias("ancestor_path"), (F.col("n") - F.col("p.i")).alias("distance"))
+    return found.join(named, [VERSION, "ancestor_path"]).select(VERSION, "section_id", "ancestor_id", "ancestor_path", "distance")
+
+
 def dynamic_inputs(section_rows: DataFrame) -> DataFrame:
     return with_context(section_rows).filter(F.col("section_type") == K.DYNAMIC)
 
@@ -194,13 +208,12 @@ def usable_batches(batch_rows: DataFrame) -> DataFrame:
     return batch_rows.filter((F.col("status") == "VALIDATED") & F.col("is_immutable"))
 
 
-def batches_of(batch_rows: DataFrame, document_id, version_intent: int | None = None) -> DataFrame:
-    """Batches of a document, newest intent first."""
-    rows = batch_rows.filter(F.col("document_id") == document_id)
-    if version_intent is not None:
-        rows = rows.filter(F.col("version_intent") == version_intent)
-    return rows.orderBy(F.col("version_intent").desc())
+def batches_of(batch_rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Batches of the documents in a table of keys; where it has ``version_intent``, of these intents only."""
+    keys = ["document_id"] + (["version_intent"] if "version_intent" in wanted.columns else [])
+    return batch_rows.join(wanted.select(*keys).distinct(), keys, "left_semi")
 
 
-def inputs_of(inputs: DataFrame, batch_key: str, value) -> DataFrame:
-    return inputs.filter(F.col(batch_key) == value).orderBy("sequence_order")
+def inputs_of(inputs: DataFrame, batches: DataFrame, *key: str) -> DataFrame:
+    """Inputs of the given batches; ``sequence_order`` orders those of a batch."""
+    return inputs.join(batches.select(*key).distinct(), list(key), "left_semi")

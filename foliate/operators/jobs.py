@@ -18,11 +18,13 @@ def payload(name: str) -> Column:
 
 
 def listing(jobs: DataFrame, status: str | None = None, job_type: str | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """All jobs that meet the conditions, or a page of them, newest first."""
+    """All jobs that meet the conditions, in no order; or a page of them, newest first."""
     if status:
         jobs = jobs.filter(F.col("status") == status)
     if job_type:
         jobs = jobs.filter(F.col("job_type") == job_type)
+    if not skip and limit is None:
+        return jobs
     jobs = jobs.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).offset(skip)
     return jobs if limit is None else jobs.limit(limit)
 

@@ -142,6 +142,8 @@ def parsing_state(events: DataFrame, tie: str = "event_id") -> DataFrame:
 
 
 def listing(rows: DataFrame, created: str = "created_at", tie: str = DOC, skip: int = 0, limit: int | None = None) -> DataFrame:
-    """All rows, or a page, newest first."""
+    """All rows, in no order; or a page, newest first."""
+    if not skip and limit is None:
+        return rows
     rows = rows.orderBy(F.col(created).desc(), F.col(tie).desc()).offset(skip)
     return rows if limit is None else rows.limit(limit)

@@ -96,6 +96,80 @@ def hierarchy_context(spark, sf_dir):
     )
 
 
+_NESTED = ddl.with_(ddl.SECTIONS) + """, nested AS (SELECT template_version_id, section_id, section_id % 4 AS m, count(*) OVER (PARTITION BY template_version_id) AS total FROM sections)
+"""
+
+
+def _nested(spark, sf_dir):
+    """Sections in threes, each inside the one before, and every fourth beside the others: ``part1``, ``part1/block/2``, ``part1/block/2/item/3``, ``body/4``."""
+    s = sections(spark, sf_dir)
+    m, at = F.col("section_id") % 4, lambda k: (F.col("section_id") - k).cast("string")
+    path = (
+        F.when(m == 1, F.concat(F.lit("part"), at(0))).when(m == 2, F.concat(F.lit("part"), at(1), F.lit("/block/"), at(0)))
+        .when(m == 3, F.concat(F.lit("part"), at(2), F.lit("/block/"), at(1), F.lit("/item/"), at(0))).otherwise(F.concat(F.lit("body/"), at(0)))
+    )
+    return s.withColumn("structural_path", path)
+
+
+@query(
+    "hierarchy_depths",
+    _NESTED
+    + """SELECT template_version_id, section_id, ['body', NULL, 'block', 'item'][m + 1] AS parent_heading, [1, 0, 2, 4][m + 1] AS depth, [1, NULL, 2, 4][m + 1] AS parent_level,
+  CASE WHEN m = 0 THEN section_id // 4 - 1 ELSE 0 END AS sibling_index, CASE WHEN m = 0 THEN total // 4 ELSE 1 END AS total_siblings FROM nested""",
+)
+def hierarchy_depths(spark, sf_dir):
+    """Paths of one to five segments."""
+    return G.with_context(_nested(spark, sf_dir)).select(
+        "template_version_id", "section_id", "parent_heading", "depth", "parent_level", "sibling_index", "total_siblings"
+    )
+
+
+@query(
+    "section_ancestors",
+    _NESTED
+    + """SELECT template_version_id, section_id, section_id - 1 AS ancestor_id, 2 AS distance FROM nested WHERE m IN (2, 3)
+UNION ALL SELECT template_version_id, section_id, section_id - 2, 4 FROM nested WHERE m = 3""",
+)
+def section_ancestors(spark, sf_dir):
+    """Every section above another one."""
+    return G.ancestors(_nested(spark, sf_dir)).select("template_version_id", "section_id", "ancestor_id", "distance")
+
+
+_BATCHES = """batch AS (SELECT o_custkey AS document_id, o_orderkey AS batch_key, o_orderkey % 3 AS version_intent, CASE WHEN o_orderkey % 2 = 0 THEN 'VALIDATED' ELSE 'PENDING' END AS status,
+  o_orderkey % 5 <> 0 AS is_immutable FROM orders)"""
+
+
+@query(
+    "batch_lookups",
+    ddl.with_(_BATCHES)
+    + """SELECT 'usable' AS lookup, batch_key FROM batch WHERE status = 'VALIDATED' AND is_immutable UNION ALL
+SELECT 'documents', batch_key FROM batch WHERE document_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) UNION ALL
+SELECT 'intents', batch_key FROM batch WHERE document_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) AND version_intent = 1 UNION ALL
+SELECT 'inputs', l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT batch_key FROM batch WHERE status = 'VALIDATED' AND is_immutable)""",
+)
+def batch_lookups(spark, sf_dir):
+    """Batches that may be used, batches of a table of documents, with and without an intent, and inputs of batches."""
+    k = F.col("o_orderkey")
+    batch = T.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("document_id"), k.alias("batch_key"), (k % 3).alias("version_intent"),
+        F.when(k % 2 == 0, "VALIDATED").otherwise("PENDING").alias("status"), (k % 5 != 0).alias("is_immutable"),
+    )
+    wanted = T.table(spark, sf_dir, "customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("document_id"))
+    usable = G.usable_batches(batch)
+    lines = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_key"), "l_linenumber")
+    found = {
+        "usable": usable.select("batch_key"),
+        "documents": G.batches_of(batch, wanted).select("batch_key"),
+        "intents": G.batches_of(batch, wanted.withColumn("version_intent", F.lit(1))).select("batch_key"),
+        "inputs": G.inputs_of(lines, usable, "batch_key").select(F.col("l_linenumber").alias("batch_key")),
+    }
+    out = None
+    for name, rows in found.items():
+        rows = rows.select(F.lit(name).alias("lookup"), F.col("batch_key").cast("bigint").alias("batch_key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def inputs(spark, sf_dir):
     """Dynamic sections with context, the version's client and the input hash."""
     rows = G.dynamic_inputs(sections(spark, sf_dir)).withColumns({

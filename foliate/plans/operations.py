@@ -13,6 +13,7 @@ from foliate.plans import ddl
 from foliate.plans.generation import sections
 from foliate.plans.registry import query
 from foliate.plans.versioning import versions
+from foliate.session import scratch_dir
 from foliate.sources import tables as T
 
 AS_OF = "2024-01-31 00:00:00"
@@ -333,6 +334,26 @@ def audit_by_version(spark, sf_dir):
     return U.by_version(T.audit_logs(spark, sf_dir), 42, 2, limit=None).select("id", "entity_type", "action")
 
 
+@query(
+    "audit_lookups",
+    ddl.with_(_LOGS)
+    + """SELECT 'job' AS lookup, id, action FROM logs WHERE entity_id = 3 UNION ALL SELECT 'version', id, action FROM logs WHERE k = 42 AND version = 2
+UNION ALL SELECT 'documents', id, action FROM logs WHERE k IN (SELECT doc_id FROM labels)""",
+)
+def audit_lookups(spark, sf_dir):
+    """The three lookups on a log that is written with its metadata keys as columns."""
+    path = scratch_dir(spark, "audit-log")
+    U.write_log(T.audit_logs(spark, sf_dir), path)
+    log = spark.read.parquet(path)
+    wanted = T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
+    found = {"job": U.stored_by_key(log, "job_id", 3), "version": U.stored_by_version(log, 42, 2), "documents": U.stored_by_keys(log, "document_id", wanted)}
+    out = None
+    for name, rows in found.items():
+        rows = rows.select(F.lit(name).alias("lookup"), "id", "action")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "audit_versions",
     ddl.with_(_LOGS) + "SELECT k::VARCHAR AS document_id, version AS version_number, count(*) AS rows FROM logs GROUP BY ALL",

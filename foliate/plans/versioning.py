@@ -236,6 +236,21 @@ def regen_target_errors(spark, sf_dir):
     return X.target_errors(targets, s)
 
 
+@query(
+    "regen_static_targets",
+    ddl.with_(ddl.BLOCKS)
+    + """SELECT template_version_id AS document_id, sequence AS section_id, 'STATIC_SECTION' AS error_code FROM blocks WHERE sequence % 5 = 0 AND sequence % 3 = 0
+UNION ALL SELECT DISTINCT template_version_id, 1000000 + template_version_id, 'SECTION_NOT_FOUND' FROM blocks WHERE template_version_id % 7 = 0""",
+)
+def regen_static_targets(spark, sf_dir):
+    """Every fifth section as target, of which every third is static, and targets that do not exist."""
+    kind = F.when(F.col("sequence") % 3 == 0, "STATIC").otherwise("DYNAMIC").alias("section_type")
+    rows = T.text_blocks(spark, sf_dir).select(F.col("template_version_id").alias("document_id"), F.col("sequence").alias("section_id"), kind)
+    unknown = rows.filter("document_id % 7 = 0").select("document_id", (F.col("document_id") + 1_000_000).alias("section_id")).distinct()
+    targets = rows.filter("section_id % 5 = 0").select("document_id", "section_id").unionByName(unknown)
+    return X.target_errors(targets, rows)
+
+
 @query(
     "regen_results",
     ddl.with_(ddl.SECTIONS, _PLANNED)
