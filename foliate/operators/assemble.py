@@ -24,11 +24,6 @@ def block_hash(block_rows: DataFrame) -> Column:
     return short_hash(first_of(cases, F.col("block_id")))
 
 
-def instantiate(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Blocks or sections of a version for each document made from it."""
-    return documents.select("document_id", VERSION).join(rows, VERSION)
-
-
 def preconditions(section_rows: DataFrame, outputs: DataFrame, *key: str) -> DataFrame:
     """Error rows: dynamic sections without an output, outputs not validated, outputs without content."""
     on = [*key, "section_id"]
@@ -50,18 +45,22 @@ def preconditions(section_rows: DataFrame, outputs: DataFrame, *key: str) -> Dat
     return missing.unionByName(bad)
 
 
-def assemble(block_rows: DataFrame, section_rows: DataFrame | None, outputs: DataFrame, *key: str) -> DataFrame:
+def assemble(block_rows: DataFrame, section_rows: DataFrame | None, outputs: DataFrame | None, *key: str) -> DataFrame:
     """Every block once, with generated text injected into dynamic paragraphs and headings.
 
     Sections meet blocks by path ``body/block/<sequence>``, outputs meet sections by id; ``key``
     names the document (or version) in all three. Blocks that carry their own ``section_id`` and
-    ``section_type`` need no section rows. Layout, level and ids are kept; other block types and
+    ``section_type`` need no section rows, and such that also carry their ``generated_content`` no outputs: then nothing is joined. Layout, level and ids are kept; other block types and
     sections without content keep their block.
     """
     key = list(key) or [VERSION]
-    contents = outputs.select(*key, "section_id", F.nullif("generated_content", F.lit("")).alias("_content"))
+    made = F.nullif("generated_content", F.lit("")).alias("_content")
+    contents = None if outputs is None else outputs.select(*key, "section_id", made)
     dynamic = (F.col("section_type") == K.DYNAMIC).alias("_dynamic")
-    if section_rows is None:
+    if outputs is None:
+        rows = block_rows.withColumn("_dynamic", dynamic).withColumn("_content", made)
+        block_rows = block_rows.drop("section_id", "section_type", "generated_content")
+    elif section_rows is None:
         rows = block_rows.withColumn("_dynamic", dynamic).join(contents, [*key, "section_id"], "left")
         block_rows = block_rows.drop("section_id", "section_type")
     else:

@@ -176,23 +176,31 @@ def unaudited_jobs(jobs: DataFrame, logs: DataFrame) -> DataFrame:
 def dataset_checks(templates: DataFrame, versions: DataFrame, documents: DataFrame, sections: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row per expectation about a data set: name, size found, passed, error."""
 
-    def check(name: str, rows: DataFrame, error: str) -> DataFrame:
-        n = F.count(F.lit(1))
-        return rows.agg(n.alias("found")).select(
-            F.lit(name).alias("check"), "found", (F.col("found") > 0).alias("passed"), F.when(F.col("found") == 0, error).alias("error")
+    def checks(rows: DataFrame, *wanted: tuple) -> DataFrame:
+        """The expectations about one table, out of one pass over it."""
+        counted = rows.agg(*[F.count_if(hit).alias(name) for name, hit, _ in wanted])
+        each = F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).alias("found"), F.lit(error).alias("error")) for name, _, error in wanted])
+        found = F.col("c.found")
+        return counted.select(F.explode(each).alias("c")).select(
+            "c.check", "c.found", (found > 0).alias("passed"), F.when(found == 0, F.col("c.error")).alias("error")
         )
 
-    out = check("template_exists", templates, "Template not found")
-    for name, rows, error in (
-        ("template_version_exists", versions, "Template version not found"),
-        ("template_parsed", versions.filter("parsing_status = 'COMPLETED'"), "Template version not parsed"),
-        ("document_exists", documents, "Document not found"),
-        ("document_has_version", documents.filter("current_version >= 1"), "Document has no version"),
-        ("sections_exist", sections, "Sections not found"),
-        ("dynamic_sections_exist", sections.filter(F.col("section_type") == K.DYNAMIC), "No dynamic sections found"),
-        ("jobs_completed", jobs.filter("status = 'COMPLETED'"), "No completed jobs found"),
+    always = F.lit(True)
+    out = checks(templates, ("template_exists", always, "Template not found"))
+    for rows in (
+        checks(
+            versions, ("template_version_exists", always, "Template version not found"),
+            ("template_parsed", F.col("parsing_status") == "COMPLETED", "Template version not parsed"),
+        ),
+        checks(
+            documents, ("document_exists", always, "Document not found"), ("document_has_version", F.col("current_version") >= 1, "Document has no version")
+        ),
+        checks(
+            sections, ("sections_exist", always, "Sections not found"), ("dynamic_sections_exist", F.col("section_type") == K.DYNAMIC, "No dynamic sections found")
+        ),
+        checks(jobs, ("jobs_completed", F.col("status") == "COMPLETED", "No completed jobs found")),
     ):
-        out = out.unionByName(check(name, rows, error))
+        out = out.unionByName(rows)
     return out
 
 

@@ -174,15 +174,19 @@ def neighbour_context(blocks: DataFrame, doc: str = "template_version_id") -> Da
 
 
 def model_features(blocks: DataFrame, doc: str = "template_version_id") -> DataFrame:
-    """Request rows for an external model: content sample and structural metadata."""
+    """Request rows for an external model: content sample and structural metadata. Texts are cut before the window."""
     text = F.coalesce("text", F.lit(""))
-    return neighbour_context(blocks, doc).select(
+    cut = blocks.select(
+        doc, "block_id", "block_type", "sequence", "level", "style_name", "position",
+        F.substring(text, 1, 1000).alias("content"), F.length(text).alias("text_length"),
+    )
+    return neighbour_context(cut, doc).select(
         doc,
         "block_id",
         "block_type",
-        F.substring(text, 1, 1000).alias("content"),
+        "content",
         F.struct(
-            "block_type", "sequence", F.length(text).alias("text_length"), F.col("level").alias("heading_level"),
+            "block_type", "sequence", "text_length", F.col("level").alias("heading_level"),
             "style_name", "previous_block_type", "next_block_type", "position_in_document",
         ).alias("structural_metadata"),
     )
@@ -200,6 +204,7 @@ def sections(classified: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("prompt_template"),
     )
     return classified.select(
+        *[c for c in ("template_id",) if c in classified.columns],
         "template_version_id",
         (F.col("position") + 1).alias("section_id"),
         "block_id",

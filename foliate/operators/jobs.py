@@ -160,7 +160,9 @@ def board(jobs: DataFrame, versions: DataFrame, templates: DataFrame) -> DataFra
     """Jobs with template name, progress and document. Names by version id, else by template id."""
     by_version = versions.select(F.col("template_version_id").alias("_version"), F.col("template_name").alias("_by_version"))
     by_template = templates.select(F.col("template_id").alias("_template"), F.col("template_name").alias("_by_template"))
-    rows = jobs.withColumns({"_version": payload("template_version_id"), "_template": payload("template_id")})
+    # a job without a template id has a key of its own, so that such jobs do not meet in one task
+    own = F.concat(F.lit("\0"), F.col("job_id").cast("string"))
+    rows = jobs.withColumns({"_version": payload("template_version_id"), "_template": F.coalesce(payload("template_id"), own)})
     rows = rows.join(by_version, "_version", "left").join(by_template, "_template", "left")
     progress = first_of([
         (F.col("status") == "COMPLETED", F.lit(100)),

@@ -13,6 +13,7 @@ from foliate.plans.generation import sections
 from foliate.plans.parsing import html_blocks
 from foliate.plans.parsing import _HTML_BLOCKS as HTML_BLOCKS
 from foliate.plans.registry import query
+from foliate.session import stored
 from foliate.sources import tables as T
 
 KEY = "template_version_id"
@@ -20,7 +21,11 @@ KEY = "template_version_id"
 
 def section_outputs(spark, sf_dir):
     """Outputs of the deterministic generator; every seventh section fails without content."""
-    rows = sections(spark, sf_dir).filter(F.col("section_type") == "DYNAMIC").select(KEY, "section_id")
+    return _outputs(sections(spark, sf_dir))
+
+
+def _outputs(section_rows):
+    rows = section_rows.filter(F.col("section_type") == "DYNAMIC").select(KEY, "section_id")
     made = R.generate(rows, failing=F.col("section_id") % 7 == 0)
     return made.select(
         KEY, "section_id",
@@ -29,19 +34,23 @@ def section_outputs(spark, sf_dir):
     )
 
 
+_BLOCK = (KEY, "block_id", "position", "sequence", "block_type", "level", "text", "total_blocks")
+
+
 def assembled(spark, sf_dir):
-    """Classified blocks carry their section, so only the outputs are joined."""
+    """Classified blocks carry their section and its output, so nothing is joined."""
     rows = C.classify(T.text_blocks(spark, sf_dir), ddl.SECTION_THRESHOLD)
-    blocks = rows.select(
-        KEY, "block_id", "position", "sequence", "block_type", "level", "text", "total_blocks", "section_type",
-        (F.col("position") + 1).alias("section_id"),
-    )
-    return A.assemble(blocks, None, section_outputs(spark, sf_dir), KEY)
+    rows = rows.select(*_BLOCK, "section_type", (F.col("position") + 1).alias("section_id"))
+    made = R.generate(rows, failing=F.col("section_id") % 7 == 0)
+    content = F.when((F.col("section_type") == "DYNAMIC") & F.col("llm_ok"), F.col("raw_output"))
+    return A.assemble(made.select(*rows.columns, content.alias("generated_content")), None, None, KEY)
 
 
 def assembled_by_path(spark, sf_dir):
-    """The same from stored sections that know only the path of their block."""
-    return A.assemble(T.text_blocks(spark, sf_dir), sections(spark, sf_dir), section_outputs(spark, sf_dir), KEY)
+    """The same from stored sections that know only the path of their block, and stored outputs; the texts are classified once."""
+    rows = stored(C.classify(T.text_blocks(spark, sf_dir), ddl.SECTION_THRESHOLD), "classified")
+    known = C.sections(rows)
+    return A.assemble(rows.select(*_BLOCK), known, _outputs(known), KEY)
 
 
 ASSEMBLED = """assembled AS (

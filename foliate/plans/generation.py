@@ -175,10 +175,7 @@ def inputs(spark, sf_dir):
     rows = G.dynamic_inputs(sections(spark, sf_dir)).withColumns({
         "client_id": F.col("template_version_id") % CLIENTS_PER_CYCLE,
     })
-    names = T.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("template_version_id"), F.col("source").alias("template_id")
-    )
-    return G.with_input_hash(G.attach_client(rows.join(names, "template_version_id"), T.clients(spark, sf_dir)))
+    return G.with_input_hash(G.attach_client(rows, T.clients(spark, sf_dir)))
 
 
 def _j(expr: str) -> str:

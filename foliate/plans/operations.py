@@ -13,7 +13,7 @@ from foliate.plans import ddl
 from foliate.plans.generation import sections
 from foliate.plans.registry import query
 from foliate.plans.versioning import versions
-from foliate.session import scratch_dir
+from foliate.session import scratch_dir, stored
 from foliate.sources import tables as T
 
 AS_OF = "2024-01-31 00:00:00"
@@ -241,7 +241,7 @@ def template_cards(spark, sf_dir):
     v = T.template_versions(spark, sf_dir)
     m = F.col("template_version_id") % 3
     parsed = v.withColumn("parsing_status", F.when(m == 0, "COMPLETED").when(m == 1, "IN_PROGRESS").otherwise("PENDING"))
-    templates = v.select("template_id").distinct()
+    templates = T.table(spark, sf_dir, "documents").select(F.col("source").alias("template_id")).distinct()
     counts = C.stored_statistics(sections(spark, sf_dir), "template_version_id").select(
         "template_version_id", "total_sections", "static_sections", "dynamic_sections"
     )
@@ -257,7 +257,7 @@ FROM orders LEFT JOIN stored s ON s.document_id = 'src' || (o_orderkey % 21) GRO
 )
 def document_counters(spark, sf_dir):
     """Documents by template; each shows the versions stored under a source name, some of which do not exist."""
-    v = versions(spark, sf_dir)
+    v = stored(versions(spark, sf_dir).select("document_id", "version_number"), "versions")
     docs = T.document_instances(spark, sf_dir).select(
         F.concat(F.lit("src"), (F.col("document_id") % 21).cast("string")).alias("stored_as"), "template_id"
     )

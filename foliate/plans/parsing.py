@@ -9,6 +9,7 @@ from foliate.operators import blocks as B
 from foliate.operators import classify as C
 from foliate.plans import ddl
 from foliate.plans.registry import query
+from foliate.session import stored
 from foliate.sources import tables as T
 
 # The HTML cut, in SQL: same marks, same tag sets.
@@ -189,7 +190,7 @@ def neighbour_context(spark, sf_dir):
 
 def _suggested(spark, sf_dir):
     """One fenced JSON reply per page, derived from its blocks: promote, adjust, merge and a bad one."""
-    b = html_blocks(spark, sf_dir)
+    b = stored(html_blocks(spark, sf_dir), "html-blocks")
     kinds = F.array(*[F.lit(t) for t in (*K.SUGGESTION_TYPES, "unknown")])
     one = F.struct(
         "block_id",
