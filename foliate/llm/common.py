@@ -34,7 +34,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows, written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove what ``stored`` wrote, once nothing that is still to be computed reads it."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

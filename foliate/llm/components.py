@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import stored
+from foliate.llm.common import forget, stored
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two integer columns a and b. Each round rewrites the edges towards the smallest nodes and
     is written to the shared folder, so that lineage stays short; rounds grow with the logarithm of the longest path.
-    They run while the plan is built.
+    They run while the plan is built, and each removes the edges of the one before.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     e = stored(e, "edges")
@@ -37,5 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20)")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
         if mark == seen or not mark[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
+        seen, before = mark, e
         e = stored(_small(_large(e)), "edges")
+        forget(before)

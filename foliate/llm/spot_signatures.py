@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foliate.llm import arrays as A
 from foliate.llm import near_copies as N
-from foliate.llm.common import group_count, stored
+from foliate.llm.common import forget, group_count, stored
 from foliate.llm.components import components
 
 CHAIN = 2
@@ -238,7 +238,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, limit: int = N.TASK_BYT
     points = stored(sets.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("spots").alias("spots")), "points")
     # every pair in a cell is compared on the whole sets
     same = F.lit(bytearray(N.BANDS * N.ROWS))
-    roots = components(N.links(sets.select("doc_id", "s", same.alias("sketch"), "marks"), points, limit, cells(points, least), least))
+    placed = stored(cells(points, least), "placed")
+    edges, kept = N.links(sets.select("doc_id", "s", same.alias("sketch"), "marks"), points, limit, placed, least)
+    roots = components(edges)
+    forget(placed, *kept)
     labelled = points.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("root", "s").alias("component"))
     first = labelled.groupBy("component").agg(F.min("least").alias("class_id"))
     return sets.select("doc_id", "s", "n").join(labelled.join(first, "component").select("s", "class_id"), "s").select("doc_id", "n", "class_id")
