@@ -22,6 +22,8 @@ empty result. A stretch without any separator is not cut, so a task's memory gro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +36,7 @@ from foliate.llm import arrays as A
 from foliate.llm.common import shared_dir
 
 #: Bytes of text in a shard, about.
-SHARD = 6 << 20
+SHARD = 4 << 20
 DEPTH, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Candidates that one task ranks before the last ranking.
 RANKED = 1 << 18
@@ -199,23 +201,38 @@ def _hashes(lang: str, names: pa.Array, found: np.ndarray) -> tuple[np.ndarray,
     return out[0].view(np.int64), (out[1] >> A.U(32)).astype(np.uint32).view(np.int32)
 
 
-def _level(row: dict, k: int):
-    """A shard's phrases of ``k`` words: ids, counts, hashes."""
-    ids = np.frombuffer(row["ids"], "<u4")
-    names = pa.array(row["words"], pa.large_string())
-    found, count = Index(ids, k).phrases(k)
-    return ids, names, found, count, *_hashes(row["lang"], names, found)
+class Shard:
+    """A stored shard, one at a time and as Arrow holds it."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        at = lambda name: batch.column(batch.schema.get_field_index(name))[i]
+        self.shard, self.lang = at("shard").as_py(), at("lang").as_py()
+        self.ids = np.frombuffer(at("ids").as_buffer(), "<u4")
+        self.words = at("words").values.cast(pa.large_string())
+
+    def phrases(self, k: int):
+        """Phrases of ``k`` words: ids, counts, hashes."""
+        found, count = Index(self.ids, k).phrases(k)
+        return found, count, *_hashes(self.lang, self.words, found)
+
+
+def _shards(batches) -> Iterator[Shard]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Shard(batch, i)
+            # what one shard took is free for the next, and for the worker beside this one
+            pa.default_memory_pool().release_unused()
 
 
 def enumerated(table: DataFrame, k: int) -> DataFrame:
     """(shard, h, g, n): phrases of ``k`` words in each shard by their hashes, with their counts."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, _, _, count, h, g = _level(row, k)
-                columns = [pa.array(np.full(len(h), row["shard"])), pa.array(h), pa.array(g), pa.array(count)]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "h", "g", "n"])
+        A.MEMORIES.clear()
+        for one in _shards(batches):
+            _, count, h, g = one.phrases(k)
+            columns = [pa.array(np.full(len(h), one.shard)), pa.array(h), pa.array(g), pa.array(count)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "h", "g", "n"])
 
     return table.select("shard", "lang", "ids", "words").mapInArrow(run, "shard bigint, h bigint, g int, n bigint")
 
@@ -245,41 +262,47 @@ def _stretches(ids: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+_KINDS = pa.schema(
+    [
+        ("kind", pa.int32()), ("shard", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()),
+        ("words", pa.list_(pa.string())), ("phrase", pa.string()), ("n", pa.int64()),
+    ]
+)
+
+
 def _resolved(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("kind", "shard", "lang", "ids", "words", "phrase", "n")}
-        for row in left.to_pylist():
-            ids, names, found, _, h, g = _level(row, k)
+        A.MEMORIES.clear()
+        out = []
+        for one in _shards(left.to_batches()):
+            found, _, h, g = one.phrases(k)
             at, marks = _places(h, g, right)
-            found, at, words = found[at >= 0], at[at >= 0], row["words"]
+            found, at = found[at >= 0], at[at >= 0]
             total, own = marks.column("total").to_numpy()[at], marks.column("own").to_numpy()[at]
-            rest, used = _left(ids, found, k), []
+            rest = _left(one.ids, found, k)
             if len(rest):
                 used = np.unique(rest[rest > 0])
-                code = np.zeros(len(words) + 1, np.int64)
+                code = np.zeros(len(one.words) + 1, np.uint32)
                 code[used] = np.arange(1, len(used) + 1)
-                rest = code[rest]
-                out["kind"].append(0)
-                out["phrase"].append(None)
-                out["n"].append(0)
-                out["ids"].append(rest.astype("<u4").tobytes())
-                out["words"].append([words[i - 1] for i in used.tolist()])
+                words = pa.ListArray.from_arrays([0, len(used)], one.words.take(pa.array(used.astype(np.int64) - 1)).cast(pa.string()))
+                ids = pa.array([code[rest].astype("<u4").tobytes()], pa.binary())
+                out.append(_rows(one, kind=0, ids=ids, words=words, n=pa.array([0], pa.int64())))
             named = found[own]
-            text = [names.take(pa.array(named[:, j] - 1)) for j in range(k)]
-            out["kind"] += [1] * len(named)
-            out["phrase"] += pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string())).to_pylist()
-            out["n"] += total[own].tolist()
-            out["ids"] += [None] * len(named)
-            out["words"] += [None] * len(named)
-            n = len(out["kind"]) - len(out["shard"])
-            out["shard"] += [row["shard"]] * n
-            out["lang"] += [row["lang"]] * n
-        types = [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.string(), pa.int64()]
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types)], [*out])
+            if len(named):
+                text = [one.words.take(pa.array(named[:, j] - 1)) for j in range(k)]
+                phrase = pc.binary_join_element_wise(*text, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                out.append(_rows(one, kind=1, phrase=phrase, n=pa.array(total[own])))
+        return pa.concat_tables(out) if out else _KINDS.empty_table()
 
     return run
 
 
+def _rows(one: Shard, kind: int, **columns) -> pa.Table:
+    n = len(columns["n"])
+    given = {"kind": pa.array(np.full(n, kind, np.int32)), "shard": pa.array(np.full(n, one.shard)), "lang": pa.array([one.lang] * n, pa.string())} | columns
+    return pa.table([given.get(f.name, pa.nulls(n, f.type)) for f in _KINDS], schema=_KINDS)
+
+
 def _left(ids: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
     """What a next level needs of the sequence, given the phrases that are alive."""
     n = len(ids) - k + 1
