@@ -164,7 +164,7 @@ def blocks(elements: DataFrame, doc: str = DOC) -> DataFrame:
         F.when(textual, s["style_name"]).alias("style_name"),
         F.when(textual, s["text"]).alias("text"),
         F.when(textual, kept_runs(s["runs"])).alias("runs"),
-        *[F.when(textual, s[c]).alias(c) for c in layout],
+        *[F.when(textual, alignment_name(s[c]) if c == "alignment" else points(s[c])).alias(c) for c in layout],
         F.when(F.col("_item"), F.col("_list_type")).alias("list_type"),
         F.when(F.col("_item"), items).alias("items"),
         table_rows.alias("rows"),
