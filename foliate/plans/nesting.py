@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -9,8 +10,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from foliate.operators import assemble as A
 from foliate.operators import blocks as B
+from foliate.operators import materialise as D
 from foliate.plans.registry import query
+from foliate.session import stored
 from foliate.sources import docx, markup
 from foliate.sources import tables as T
 
@@ -120,3 +124,86 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL FROM docu
 def block_layout(spark, sf_dir):
     """Alignment, indents and spacings in points; what is zero or absent is NULL."""
     return _styled(spark, sf_dir).select(KEY, "alignment", "indent_left", "indent_first_line", "spacing_before", "spacing_after")
+
+
+def _headed(number: int) -> bytes:
+    """Two paragraphs, a header for every page, one for the first page, and a footer for every second document."""
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    refs = '<w:headerReference w:type="default" r:id="r1"/><w:headerReference w:type="first" r:id="r2"/>' + ('<w:footerReference w:type="default" r:id="r3"/>' if number % 2 else "")
+    parts = {
+        "[Content_Types].xml": "<Types/>",
+        "word/document.xml": f'<w:document xmlns:w="{_W}" xmlns:r="{rel}"><w:body>{p(f"Line {number}")}{p("End")}<w:sectPr>{refs}</w:sectPr></w:body></w:document>',
+        "word/_rels/document.xml.rels": "<R>" + "".join(f'<Relationship Id="r{i}" Target="part{i}.xml"/>' for i in (1, 2, 3)) + "</R>",
+        "word/part1.xml": f'<w:hdr xmlns:w="{_W}">{p(f"Head {number}")}{p(" ")}</w:hdr>',
+        "word/part2.xml": f'<w:hdr xmlns:w="{_W}">{p("First page")}{p("of all")}</w:hdr>',
+        "word/part3.xml": f'<w:ftr xmlns:w="{_W}">{p("Foot")}</w:ftr>',
+        "docProps/core.xml": f'<c xmlns:dc="u"><dc:title>Title {number}</dc:title><dc:creator>A</dc:creator><keywords>k</keywords><revision>{number % 7 or "x"}</revision>'
+        "<created>2024-01-02T03:04:05Z</created></c>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def _headed_elements(spark, sf_dir):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["doc_id"], "content": [_headed(k) for k in batch["doc_id"]]})
+
+    return stored(docx.elements(T.table(spark, sf_dir, "documents").select("doc_id").mapInPandas(pack, "key bigint, content binary")), "headed")
+
+
+@query(
+    "headed_renditions",
+    """SELECT CAST(doc_id AS VARCHAR) AS template_version_id, array_to_string(['Head ' || doc_id, 'First page', 'of all', 'Line ' || doc_id, 'End'] ||
+  CASE WHEN doc_id % 2 = 1 THEN ['Foot'] ELSE [] END, chr(10)) AS rendition FROM documents""",
+)
+def headed_renditions(spark, sf_dir):
+    """Renditions with headers before and footers behind the body."""
+    rows = _headed_elements(spark, sf_dir)
+    heads = B.headers_footers(docx.header_paragraphs(rows), B.last_number(docx.body(rows)))
+    return D.render(B.blocks(docx.body(rows)), KEY, headers=heads).select(KEY, "rendition")
+
+
+@query(
+    "file_properties",
+    """SELECT CAST(doc_id AS VARCHAR) AS template_version_id, 'Title ' || doc_id AS title, 'A' AS author, CAST(NULL AS VARCHAR) AS subject, 'k' AS keywords,
+  TIMESTAMP '2024-01-02 03:04:05' AS created, CAST(NULL AS TIMESTAMP) AS modified, CASE WHEN doc_id % 7 > 0 THEN doc_id % 7 END AS revision FROM documents""",
+)
+def file_properties(spark, sf_dir):
+    """The seven properties of files; a revision that is no number is NULL."""
+    found = docx.properties(_headed_elements(spark, sf_dir))
+    return found.withColumns({c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz") for c in ("created", "modified")})
+
+
+@query(
+    "rendition_lookups",
+    """WITH r AS (SELECT source AS document_id, doc_id AS version_number, CASE doc_id % 3 WHEN 0 THEN 'FAILED' ELSE 'VALIDATED' END AS status, doc_id % 2 = 0 AS is_immutable, sha256(text) AS h FROM documents)
+SELECT 'document' AS lookup, document_id, version_number FROM r WHERE document_id = 'src3' UNION ALL
+SELECT 'validated', document_id, version_number FROM r WHERE document_id = 'src3' AND status = 'VALIDATED' AND is_immutable UNION ALL
+SELECT 'failed', document_id, version_number FROM r WHERE status = 'FAILED' UNION ALL
+SELECT 'hash', document_id, version_number FROM r WHERE h = sha256('') UNION ALL
+SELECT 'latest', document_id, max(version_number) FROM r GROUP BY document_id UNION ALL
+SELECT 'count', document_id, count(*) FROM r GROUP BY document_id""",
+)
+def rendition_lookups(spark, sf_dir):
+    """Stored renditions by document, state and hash; the newest and the number of each document."""
+    n = F.col("doc_id")
+    r = T.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("document_id"), n.alias("version_number"), F.when(n % 3 == 0, "FAILED").otherwise("VALIDATED").alias("status"),
+        (n % 2 == 0).alias("is_immutable"), F.sha2("text", 256).alias("content_hash"),
+    )
+    columns = {"version_column": "version_number", "hash_column": "content_hash"}
+    found = {
+        "document": A.find(r, "src3", **columns), "validated": A.find(r, "src3", validated=True, **columns), "failed": A.find(r, status="FAILED", **columns),
+        "hash": A.find(r, content_hash=hashlib.sha256(b"").hexdigest(), **columns), "latest": A.latest(r, "version_number"),
+        "count": A.stored_counts(r).withColumnRenamed("assemblies", "version_number"),
+    }
+    out = None
+    for name, rows in found.items():
+        rows = rows.select(F.lit(name).alias("lookup"), "document_id", "version_number")
+        out = rows if out is None else out.unionByName(rows)
+    return out
