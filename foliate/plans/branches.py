@@ -10,17 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliate.functions import constants as K
+from foliate.operators import audit as U
 from foliate.operators import classify as C
 from foliate.operators import validate as V
 from foliate.plans.registry import query
 from foliate.sources import tables as T
+from foliate.streaming import events as S
 
 _PLAIN = "'Entry ' || doc_id || ' with ' || n_chars || ' letters was read again'"
 
 
-def _cycle(spark, sf_dir, texts: list[Column], name: str):
-    """Documents with ``_m``, their place in the cycle, and its text."""
-    rows = T.table(spark, sf_dir, "documents").withColumn("_m", F.pmod("doc_id", F.lit(len(texts))).cast("int"))
+def _cycle(spark, sf_dir, texts: list[Column], name: str, rows=None):
+    """Documents (or the given rows of them) with ``_m``, their place in the cycle, and its text."""
+    rows = T.table(spark, sf_dir, "documents") if rows is None else rows
+    rows = rows.withColumn("_m", F.pmod("doc_id", F.lit(len(texts))).cast("int"))
     chosen = F.lit(None).cast("string")
     for i, t in enumerate(texts):
         chosen = F.when(F.col("_m") == i, t).otherwise(chosen)
@@ -143,3 +146,46 @@ def rules_fired(spark, sf_dir):
     return C.classify(blocks, K.TOP_HEADING_RULE[1]).select(
         "doc_id", F.col("rule_number").cast("bigint").alias("rule_number"), "section_type", "confidence", "method", "text_sample", "matched_text"
     )
+
+
+@query("stream_validate", "WITH " + _EXPECTED + "SELECT doc_id, error_codes, failure_type, error_codes = '' AS is_valid FROM expected")
+def stream_validate(spark, sf_dir):
+    """The verdicts of ``verdict_codes`` on arriving texts."""
+    rows = _cycle(spark, sf_dir, [make() for make in _CONTENTS], "content", S.read_stream(spark, sf_dir, "documents.parquet"))
+    judged = S.validated(rows, "content", min_length=20, max_length=500, custom=(r"\[client-\d+\]",))
+    out = judged.select("doc_id", F.array_join("error_codes", ",").alias("error_codes"), "failure_type", "is_valid")
+    return S.run_available(out, "validate")
+
+
+_EVENT_ROWS = """(0, 'GENERATION_BATCH', 'GENERATION_INITIATED', 'document_id template_version_id version_intent total_sections job_id'),
+  (1, 'SECTION_OUTPUT', 'SECTION_GENERATION_COMPLETED', 'batch_id section_id document_id content_hash content_length generation_duration_ms job_id'),
+  (2, 'SECTION_OUTPUT', 'SECTION_GENERATION_FAILED', 'batch_id section_id document_id error_code error_message retry_count job_id'),
+  (3, 'SECTION_OUTPUT_BATCH', 'BATCH_GENERATION_COMPLETED', 'document_id completed_sections failed_sections total_sections job_id'),
+  (4, 'SECTION_OUTPUT_BATCH', 'BATCH_GENERATION_FAILED', 'document_id error_code error_message job_id'),
+  (5, 'ASSEMBLED_DOCUMENT', 'DOCUMENT_ASSEMBLY_COMPLETED', 'document_id template_version_id version_intent total_blocks dynamic_blocks_count static_blocks_count injected_sections_count assembly_hash assembly_duration_ms job_id'),
+  (6, 'ASSEMBLED_DOCUMENT', 'DOCUMENT_ASSEMBLY_FAILED', 'document_id template_version_id version_intent error_code error_message job_id'),
+  (7, 'RENDERED_DOCUMENT', 'DOCUMENT_RENDERING_COMPLETED', 'document_id version output_path content_hash file_size_bytes total_blocks_rendered rendering_duration_ms job_id'),
+  (8, 'RENDERED_DOCUMENT', 'DOCUMENT_RENDERING_FAILED', 'document_id version error_code error_message job_id'),
+  (9, 'DOCUMENT_VERSION', 'DOCUMENT_VERSION_CREATED', 'document_id version_number output_path content_hash job_id'),
+  (10, 'TEMPLATE', 'CREATE', 'name'), (11, 'TEMPLATE_VERSION', 'CREATE', 'template_id version_number'), (12, 'DOCUMENT', 'CREATE', 'template_version_id'),
+  (13, 'DOCUMENT', 'UPDATE_TEMPLATE_VERSION', 'old_template_version_id new_template_version_id'),
+  (14, 'DOCUMENT_VERSION', 'CREATE', 'document_id version_number output_path content_hash'), (15, 'DOCUMENT', 'UPDATE_CURRENT_VERSION', 'document_id new_current_version'),
+  (16, 'template_version', 'sections_classified', 'total_sections static_sections dynamic_sections high_confidence_count rule_based_count llm_assisted_count fallback_count duration_ms success_rate')"""
+
+
+@query(
+    "audit_events",
+    f"""WITH e(i, entity_type, action, keys) AS (VALUES {_EVENT_ROWS})
+SELECT entity_type, CAST(doc_id AS VARCHAR) AS entity_id, action,
+  '{{' || array_to_string(list_transform(string_split(keys, ' '), lambda k: '"' || k || '":"' || k || '-' || doc_id || '"'), ',') || '}}' AS metadata
+FROM documents JOIN e ON e.i = doc_id % 17""",
+)
+def audit_events(spark, sf_dir):
+    """Each of the 17 events, with all its keys, for the documents whose id has its place in the cycle."""
+    names = sorted({k for _, _, keys in K.AUDIT_EVENTS.values() for k in keys})
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", *[F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")).alias(k) for k in names])
+    out = None
+    for i, event in enumerate(K.AUDIT_EVENTS):
+        rows = U.emit(docs.filter(F.col("doc_id") % len(K.AUDIT_EVENTS) == i), event, "doc_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out

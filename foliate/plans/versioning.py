@@ -227,6 +227,32 @@ def regen_plan(spark, sf_dir):
     return _plan(spark, sf_dir)
 
 
+@query(
+    "regen_plan_forced",
+    ddl.with_(ddl.SECTIONS, _PLANNED)
+    + "SELECT document_id, section_id, CASE WHEN section_id % 3 = 0 THEN 'regenerate' ELSE 'reuse' END AS action FROM planned",
+)
+def regen_plan_forced(spark, sf_dir):
+    """Every target anew, changed or not."""
+    return X.plan(*_request(spark, sf_dir), force_all=True).select(DOC, "section_id", "action")
+
+
+@query(
+    "regen_statuses",
+    ddl.with_(ddl.BLOCKS, """r AS (SELECT template_version_id AS d, sequence AS s, template_version_id % 3 = 2 OR (template_version_id % 3 = 1 AND sequence % 2 = 1) AS bad FROM blocks)""")
+    + """SELECT d AS document_id, count(*) FILTER (NOT bad) AS sections_regenerated, CAST(0 AS BIGINT) AS sections_reused, count(*) FILTER (bad) AS sections_failed,
+  CASE WHEN bool_and(bad) THEN 'FAILED' WHEN bool_or(bad) THEN 'PARTIALLY_COMPLETED' ELSE 'COMPLETED' END AS status FROM r GROUP BY d""",
+)
+def regen_statuses(spark, sf_dir):
+    """Results in which nothing, every second section or everything has failed."""
+    d, n = F.col("template_version_id"), F.col("sequence")
+    bad = (d % 3 == 2) | ((d % 3 == 1) & (n % 2 == 1))
+    results = T.text_blocks(spark, sf_dir).select(
+        d.alias(DOC), (~bad).alias("was_regenerated"), F.lit(False).alias("was_reused"), F.when(bad, "model does not answer").alias("error")
+    )
+    return X.result_status(results)
+
+
 @query(
     "regen_target_errors",
     "SELECT doc_id AS document_id, CAST(0 AS BIGINT) AS section_id, 'SECTION_NOT_FOUND' AS error_code FROM documents WHERE doc_id % 13 = 0",
