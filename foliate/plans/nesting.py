@@ -207,3 +207,41 @@ def rendition_lookups(spark, sf_dir):
         rows = rows.select(F.lit(name).alias("lookup"), "document_id", "version_number")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_MIXED = """mixed AS (
+  SELECT doc_id AS template_version_id, b.position, b.block_type, b.hashed FROM documents, LATERAL (VALUES (0, 'heading', 'Page ' || doc_id), (1, 'list', 'one|a & b|c|deep ' || doc_id || '|two'),
+    (2, 'paragraph', 'end'), (3, 'list', 'last'), (4, 'table', 'table:4x3'), (5, 'paragraph', 'after')) b(position, block_type, hashed) WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, b.position, b.block_type, b.hashed FROM documents, LATERAL (VALUES (0, 'table', 'table:4x3'), (1, 'list', 'only ' || doc_id)) b(position, block_type, hashed) WHERE doc_id % 2 = 1)"""
+
+
+def _dynamic(spark, sf_dir):
+    """The blocks of the pages, every one of a dynamic section; the third has no output."""
+    blocks = _blocks(spark, sf_dir).withColumns({"section_id": F.col("position") + 1, "section_type": F.lit("DYNAMIC")})
+    content = F.concat(F.lit("new "), F.col("section_id").cast("string"))
+    outputs = blocks.filter("section_id <> 3").select(KEY, "section_id", content.alias("generated_content"), F.lit(True).alias("is_validated"))
+    return blocks, outputs
+
+
+@query(
+    "assembly_mixed",
+    "WITH " + _MIXED
+    + """ SELECT template_version_id, position, block_type, block_type IN ('heading', 'paragraph') AND position <> 2 AS was_injected,
+  CASE WHEN block_type IN ('list', 'table') THEN 'Unsupported block type for injection: ' || block_type END AS injection_error, left(sha256(hashed), 16) AS original_content_hash,
+  left(sha256(CASE WHEN block_type IN ('heading', 'paragraph') AND position <> 2 THEN 'new ' || (position + 1) ELSE hashed END), 16) AS assembled_content_hash FROM mixed""",
+)
+def assembly_mixed(spark, sf_dir):
+    """Headings take text; lists and tables keep theirs, with a message, and are hashed by items and size."""
+    blocks, outputs = _dynamic(spark, sf_dir)
+    rows = A.assemble(blocks, None, outputs, KEY)
+    return rows.select(
+        KEY, F.col("position").cast("int").alias("position"), "block_type", "was_injected", "injection_error", "original_content_hash", "assembled_content_hash"
+    )
+
+
+@query("assembly_without_outputs", "WITH " + _MIXED + " SELECT template_version_id, position + 1 AS section_id, 'MISSING_VALIDATED_CONTENT' AS error_code FROM mixed WHERE position = 2")
+def assembly_without_outputs(spark, sf_dir):
+    """Dynamic sections that have no output row."""
+    blocks, outputs = _dynamic(spark, sf_dir)
+    rows = A.preconditions(blocks.select(KEY, "section_id", "section_type"), outputs, KEY)
+    return rows.select(KEY, F.col("section_id").cast("int").alias("section_id"), "error_code")
