@@ -386,3 +386,52 @@ def generated_responses(spark, sf_dir):
     reply = F.concat_ws("/", F.concat(F.lit("Reply "), F.col("template_version_id").cast("string")), F.col("section_id").cast("string"))
     responses = inputs.filter("section_id % 2 = 0").select("template_version_id", "section_id", reply.alias("text"))
     return R.generate(inputs, responses=responses).select("template_version_id", "section_id", "raw_output")
+
+
+@query(
+    "retry_exhausted",
+    """SELECT doc_id AS section_id, CASE WHEN doc_id % 3 = 1 THEN 'VALIDATED' WHEN doc_id % 3 = 2 THEN 'RETRYING' ELSE 'FAILED' END AS status,
+  CASE doc_id % 3 WHEN 0 THEN 'RETRY_EXHAUSTED' WHEN 2 THEN 'LLM_INVOCATION_FAILED' END AS error_code,
+  CASE doc_id % 3 WHEN 0 THEN 'Retry exhausted after 4 attempts: call 3 of ' || doc_id || ' timed out' WHEN 2 THEN 'call 1 of ' || doc_id || ' timed out' END AS error_message,
+  CASE doc_id % 3 WHEN 0 THEN 'RETRY_EXHAUSTION' WHEN 2 THEN 'GENERATION_FAILURE' END AS failure_category,
+  CASE doc_id % 3 WHEN 2 THEN 2 ELSE 3 END AS retry_count, CASE doc_id % 3 WHEN 2 THEN 2 ELSE 3 END AS past_failures FROM documents""",
+)
+def retry_exhausted(spark, sf_dir):
+    """Chains of four failed calls, of three and then an answer, and of two so far."""
+    k, n = F.col("section_id"), F.col("attempt_no")
+    docs = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section_id"))
+    calls = docs.select("section_id", F.explode(F.sequence(F.lit(0), F.when(k % 3 == 2, 1).otherwise(3))).alias("attempt_no")).withColumn("attempt_no", n.cast("bigint"))
+    answer = F.lit("The committee read the entry again and found each of its figures in order, so nothing further was asked of anyone.")
+    calls = calls.withColumns({
+        "llm_ok": (k % 3 == 1) & (n == 3),
+        "raw_output": F.when((k % 3 == 1) & (n == 3), answer),
+        "llm_error": F.concat(F.lit("call "), n.cast("string"), F.lit(" of "), k.cast("string"), F.lit(" timed out")),
+    })
+    return R.outcomes(R.judge(calls), "section_id").select(
+        "section_id", "status", "error_code", "error_message", "failure_category", "retry_count", F.size("retry_history").alias("past_failures")
+    )
+
+
+@query(
+    "input_checks_each",
+    ddl.with_(ddl.SECTIONS)
+    + """SELECT template_version_id, section_id, ['section_id', 'template_id', 'template_version_id', 'structural_path', 'prompt_config.classification_confidence', NULL][section_id % 6 + 1] AS field,
+  ['must be a positive integer', 'must be a valid UUID string', 'must be a valid UUID string', 'cannot be empty', 'must be between 0.0 and 1.0', NULL][section_id % 6 + 1] AS reason,
+  [CAST(-section_id AS VARCHAR), 'no uuid', '{bad}', ' ', '1.5', NULL][section_id % 6 + 1] AS value FROM sections""",
+)
+def input_checks_each(spark, sf_dir):
+    """Each of the five checks, and inputs that pass."""
+    uuid, m = F.lit("00000000-0000-4000-8000-000000000000"), F.col("number") % 6
+    rows = sections(spark, sf_dir).select(F.col("template_version_id").alias("version"), F.col("section_id").alias("number"), "structural_path")
+    checked = G.check_input(rows.select(
+        "version", "number",
+        F.when(m == 0, -F.col("number")).otherwise(F.col("number")).alias("section_id"),
+        F.when(m == 1, "no uuid").otherwise(uuid).alias("template_id"),
+        F.when(m == 2, "{bad}").otherwise(uuid).alias("template_version_id"),
+        F.when(m == 3, " ").otherwise(F.col("structural_path")).alias("structural_path"),
+        F.struct(F.when(m == 4, 1.5).otherwise(1.0).alias("classification_confidence")).alias("prompt_config"),
+    ))
+    error = F.col("input_error")
+    return checked.select(
+        F.col("version").alias("template_version_id"), F.col("number").alias("section_id"), error["field"].alias("field"), error["reason"].alias("reason"), error["value"].alias("value")
+    )
