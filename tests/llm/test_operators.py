@@ -43,16 +43,22 @@ def test_suffix_arrays(docs, rows, nothing):
     assert all(sha(kept[d]) == h for d, _, _, _, h in got)
 
 
-def test_exact_order_gives_the_same(rows):
-    """Ordering by all bytes, the way out of a hash collision, finds what the short keys find."""
-    text = np.frombuffer(("abcdefghij" * 30).encode() + bytes(range(200)), np.uint8)
+def test_levels_are_in_suffix_order():
+    """Every level holds distinct windows in the order of their bytes, sizes fall geometrically, and each window finds its first document."""
+    rng = np.random.default_rng(1)
+    text = np.frombuffer(("abcdefghij" * 30).encode() + bytes(range(200)) + bytes(rng.integers(97, 99, 400).tolist()) + b"a" * 120, np.uint8)
     at = np.arange(len(text) - 50)
     low = at // 7
-    found = []
-    for exact in (False, True):
-        family = suffix_dedup.Family(text, 50, exact)
-        found.append(np.concatenate([family.add(at[a : a + 60], low[a : a + 60]) for a in range(0, len(at), 60)]))
-    assert (found[0] == found[1]).all() and found[0][20] == low[0] == found[0][10]
+    window = lambda i: text[i : i + 50].tobytes()
+    first = {}
+    for i, doc in zip(at.tolist(), low.tolist()):
+        first.setdefault(window(i), doc)
+    family = suffix_dedup.Family(text, 50)
+    found = np.concatenate([family.add(at[a : a + 60], low[a : a + 60]) for a in range(0, len(at), 60)])
+    assert found.tolist() == [first[window(i)] for i in at.tolist()]
+    held = [[window(i) for i in level.at.tolist()] for level in family.levels]
+    assert all(level == sorted({*level}) for level in held) and sum(map(len, held)) == len(first)
+    assert all(len(a) > 2 * len(b) for a, b in zip(held, held[1:]))
 
 
 def test_suffix_automata(docs, rows, nothing):
