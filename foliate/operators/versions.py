@@ -76,11 +76,11 @@ def current_rows(documents: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def history(versions: DataFrame) -> DataFrame:
-    """Versions, newest first, with total and current number of their document."""
+    """Versions with total and current number of their document, in no order; ``listing`` gives a page."""
     totals = versions.groupBy(DOC).agg(
         F.count(F.lit(1)).alias("total_versions"), F.max("version_number").alias("current_version")
     )
-    return versions.join(totals, DOC).orderBy(DOC, F.col("version_number").desc())
+    return versions.join(totals, DOC)
 
 
 def integrity(versions: DataFrame, contents: DataFrame) -> DataFrame:
